@@ -33,6 +33,9 @@ ITEM_BLOCK = 5000
 #: A run of intact words that every passage within the bounds has: 18 of 20 words in at most three runs.
 _RUN = 6
 _SEED = 11
+#: Words in memory at a time, and words of a document searched at a time.
+_PIECE = 40_000
+_SEGMENT = 20_000
 
 
 class Items:
@@ -125,10 +128,19 @@ def _partial(function, size: int):
 
 
 def _weighted(batch: pa.RecordBatch, idf: np.ndarray):
-    code, passage, n = _blocks(batch)
-    weight = idf[code]
-    scale = 1 / np.sqrt(np.maximum(np.bincount(passage, weight * weight, n), 1e-12))
-    return code, passage, n, weight * scale[passage]
+    """Pieces of about ``_PIECE`` words: words, passages from 0, their number, weights of unit passages."""
+    code, passage, _ = _blocks(batch)
+    starts = np.flatnonzero(np.r_[True, np.diff(passage) != 0]) if len(code) else np.zeros(0, int)
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(starts, starts[at] + _PIECE)))
+        low, high = starts[at], starts[to] if to < len(starts) else len(code)
+        part = code[low:high]
+        local = np.repeat(np.arange(to - at), np.diff(np.append(starts[at:to], high)))
+        weight = idf[part]
+        scale = 1 / np.sqrt(np.maximum(np.bincount(local, weight * weight, to - at), 1e-12))
+        yield part, local, to - at, weight * scale[local]
+        at = to
 
 
 def _projected(code, passage, n, weight, basis: np.ndarray) -> np.ndarray:
@@ -156,20 +168,19 @@ def fit(encoded: DataFrame, items: Items, latent: int = LATENT, oversample: int
     sketch = np.random.default_rng(_SEED).standard_normal((size, width))
 
     def forward(batch, total):
-        code, passage, n, weight = _weighted(batch, idf)
-        if len(code) == 0:
-            return
-        y = _projected(code, passage, n, weight, sketch)
-        order = np.argsort(code, kind="stable")
-        starts = np.flatnonzero(np.r_[True, np.diff(code[order]) != 0])
-        sums = np.add.reduceat(y[passage[order]] * weight[order][:, None], starts, axis=0)
-        total.reshape(size, width)[code[order][starts]] += sums
+        for code, passage, n, weight in _weighted(batch, idf):
+            y = _projected(code, passage, n, weight, sketch)
+            order = np.argsort(code, kind="stable")
+            starts = np.flatnonzero(np.r_[True, np.diff(code[order]) != 0])
+            sums = np.add.reduceat(y[passage[order]] * weight[order][:, None], starts, axis=0)
+            total.reshape(size, width)[code[order][starts]] += sums
 
     basis, _ = np.linalg.qr(_summed(encoded.mapInArrow(_partial(forward, size * width), "part binary")).reshape(size, width))
 
     def gram(batch, total):
-        y = _projected(*_weighted(batch, idf), basis)
-        total += (y.T @ y).ravel()
+        for piece in _weighted(batch, idf):
+            y = _projected(*piece, basis)
+            total += (y.T @ y).ravel()
 
     square = basis.shape[1] ** 2
     values, vectors = np.linalg.eigh(_summed(encoded.mapInArrow(_partial(gram, square), "part binary")).reshape(basis.shape[1], -1))
@@ -242,6 +253,30 @@ def _searcher(items: Items, latent: np.ndarray, min_cosine: float):
     keys, runs, ids = items.keys, items.runs, items.ids
     fields = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float32())])
 
+    def segment(code: np.ndarray, best: dict[int, float]) -> None:
+        """Adds the items that the words hold, by candidate windows, with the windows' cosine."""
+        starts, v = windows(code, latent, STRIDE)
+        run = run_keys(code)
+        at = np.minimum(np.searchsorted(keys, run), len(keys) - 1)
+        intact = (keys[at] == run) & (run >= 0) if len(keys) else np.zeros(len(run), bool)
+        text = None
+        for block in range(0, len(starts), 256):
+            begin = starts[block : block + 256]
+            close = np.maximum.reduceat(v[block : block + 256] @ targets.T, firsts, axis=1)
+            hot = close >= min_cosine
+            if not hot.any():
+                continue
+            text = code.tolist() if text is None else text
+            low = int(begin[0])
+            for p in (np.flatnonzero(intact[low : begin[-1] + WINDOW]) + low).tolist():
+                # Windows that begin at most a window before the run are the candidates around it.
+                near = slice(int(np.searchsorted(begin, p - WINDOW, "right")), int(np.searchsorted(begin, p + _RUN, "right")))
+                for n, q in runs[int(run[p])]:
+                    if n in best or place[n] < 0 or p > low and q and text[p - 1] == lists[n][q - 1]:
+                        continue
+                    if hot[near, place[n]].any() and holds(text, p, lists[n], q):
+                        best[n] = float(close[near, place[n]].max())
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple[int, int, float]] = []
@@ -249,32 +284,13 @@ def _searcher(items: Items, latent: np.ndarray, min_cosine: float):
             offsets = np.asarray(column.offsets)
             values = np.asarray(column.values)
             for row, doc_id in enumerate(batch.column("doc_id").to_pylist()):
-                code = values[offsets[row] : offsets[row + 1]]
-                if len(code) < MIN_WORDS - MIN_WORDS // ALTERED or not len(targets):
+                whole = values[offsets[row] : offsets[row + 1]]
+                if len(whole) < MIN_WORDS - MIN_WORDS // ALTERED or not len(targets):
                     continue
-                starts, v = windows(code, latent, STRIDE)
-                text = None
-                run = run_keys(code)
-                for block in range(0, len(starts), 512):
-                    close = np.maximum.reduceat(v[block : block + 512] @ targets.T, firsts, axis=1)
-                    hot = close >= min_cosine
-                    if not hot.any():
-                        continue
-                    low = starts[block]
-                    high = starts[min(block + 511, len(starts) - 1)] + WINDOW
-                    part = run[low:high]
-                    at = np.minimum(np.searchsorted(keys, part), len(keys) - 1)
-                    text = code.tolist() if text is None else text
-                    done = {(d, i) for d, i, _ in out if d == doc_id}
-                    for p in (np.flatnonzero((keys[at] == part) & (part >= 0)) + low).tolist():
-                        # The windows that begin at most a window before the run: the candidates around it.
-                        near = np.flatnonzero((starts[block : block + 512] > p - WINDOW) & (starts[block : block + 512] <= p + _RUN))
-                        for n, q in runs[int(run[p])]:
-                            if (doc_id, ids[n]) in done or place[n] < 0 or p and q and text[p - 1] == lists[n][q - 1] and p > low:
-                                continue
-                            if hot[near, place[n]].any() and holds(text, p, lists[n], q):
-                                done.add((doc_id, ids[n]))
-                                out.append((doc_id, ids[n], float(close[near, place[n]].max())))
+                best: dict[int, float] = {}
+                for low in range(0, max(1, len(whole) - 2 * WINDOW), _SEGMENT):
+                    segment(whole[low : low + _SEGMENT + 4 * WINDOW], best)
+                out += [(doc_id, ids[n], cosine) for n, cosine in best.items()]
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], fields.field(k).type) for k in range(3)], schema=fields)
 
     return search
