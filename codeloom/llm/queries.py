@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from codeloom.llm import doc_pairs, languages, leakage, neighbours, parse_check, secrets, splitting, written_by_hand
+from codeloom.llm import doc_pairs, languages, leakage, neighbours, packing, parse_check, secrets, splitting, written_by_hand
 
-_MODULES = [doc_pairs, languages, leakage, neighbours, secrets, written_by_hand, splitting, parse_check]
+_MODULES = [doc_pairs, languages, leakage, neighbours, packing, secrets, written_by_hand, splitting, parse_check]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in _MODULES for name, sql in module.ORACLE.items()}
