@@ -252,7 +252,7 @@ def diff_totals(spark, d):
     return totals.select("full_name", "pr_number", "total_additions", "total_deletions", F.array_join("changed_filenames", ",").alias("names"))
 
 
-def diff_every_hundredth(spark, d):
+def diff_queries(spark, d):
     return symbols.file_queries(diff.parse_diffs(_diffs(spark, d))).select("full_name", "pr_number", "query")
 
 
