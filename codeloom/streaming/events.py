@@ -53,7 +53,7 @@ def routed(events: DataFrame) -> DataFrame:
     )
     return parsed(events).where(is_push | is_pull).select(
         F.when(is_push, "ingest").otherwise("review").alias("kind"), job.alias("job_id"), repo.alias("full_name"),
-        F.when(is_push, p["repository"]["default_branch"]).alias("ref"), number.alias("pr_number"), p["pull_request"]["title"].alias("pr_title"), sha.alias("commit_sha"), "ts",
+        F.when(is_push, p["repository"]["default_branch"]).alias("ref"), F.when(is_pull, number).alias("pr_number"), F.when(is_pull, p["pull_request"]["title"]).alias("pr_title"), F.when(is_pull, sha).alias("commit_sha"), "ts",
     )
 
 
