@@ -81,6 +81,7 @@ class _Parser:
         self.no_conditional_type = False
         self.ambient = False
         self.breakable = self.loop = 0
+        self.covers = 0  # object literals with '=' that have not become patterns
         self.labels: list[str] = []
         self.last_end = 0
         start = 1 if src.startswith("﻿") else 0
@@ -129,12 +130,12 @@ class _Parser:
     def attempt(self, rule):
         """The rule's result, or None and no step taken where it fails."""
         state = self.save()
-        flags = (self.in_function, self.in_async, self.in_generator, self.no_in, self.in_consequent, self.no_conditional_type, self.ambient, self.breakable, self.loop, self.owner, len(self.labels))
+        flags = (self.in_function, self.in_async, self.in_generator, self.no_in, self.in_consequent, self.no_conditional_type, self.ambient, self.breakable, self.loop, self.owner, self.covers, len(self.labels))
         try:
             return rule()
         except EcmaError:
             self.back(state)
-            (self.in_function, self.in_async, self.in_generator, self.no_in, self.in_consequent, self.no_conditional_type, self.ambient, self.breakable, self.loop, self.owner, n) = flags
+            (self.in_function, self.in_async, self.in_generator, self.no_in, self.in_consequent, self.no_conditional_type, self.ambient, self.breakable, self.loop, self.owner, self.covers, n) = flags
             del self.labels[n:]
             return None
 
@@ -254,7 +255,7 @@ class _Parser:
 
     def s_let(self, declarations):
         nxt = self.ahead_token()
-        if nxt[0] == "id" and nxt[1] not in ("in", "instanceof", "of") or nxt[1] in ("[", "{") and nxt[0] == "p":
+        if nxt[0] == "id" and nxt[1] not in ("in", "instanceof") or nxt[1] in ("[", "{") and nxt[0] == "p":
             return self.s_var(declarations)
         return False
 
@@ -966,11 +967,16 @@ class _Parser:
     # expressions
 
     def expression(self):
+        covers = self.covers
         kind = self.assign()
         while self.is_p(","):
             self.advance()
             self.assign()
             kind = "seq"
+        if not (self.t == "id" and self.v in ("of", "in")):
+            self.uncovered(covers)
+        else:
+            self.covers = covers
         return kind
 
     def assign(self):
@@ -1017,20 +1023,24 @@ class _Parser:
                     if kind:
                         return kind
                 self.not_arrow.add(at)
+        covers = self.covers
         kind = self.conditional()
         if self.t == "p" and self.v in _ASSIGN:
             if self.v == "=":
                 if kind not in _TARGETS:
                     self.fail("bad assignment target")
+                self.covers = covers
             elif kind not in ("id", "member"):
                 self.fail("bad assignment target")
             self.advance()
             right = self.assign()
             return right if right in ("arrow", "func") else "assign"
-        if kind == "cover":
-            self.fail("'=' in an object literal")
         return kind
 
+    def uncovered(self, covers: int):
+        if self.covers != covers:
+            self.fail("'=' in an object literal")
+
     def async_single(self):
         start = self.s
         self.advance()
@@ -1106,7 +1116,6 @@ class _Parser:
             kind = "priv"
         else:
             kind = self.unary()
-        mixed = None
         while True:
             v = self.v
             if self.t == "p" or self.t == "id":
@@ -1125,13 +1134,11 @@ class _Parser:
                     return kind
                 if v == "**" and kind == "unary":
                     self.fail("unary operator before '**'")
-                if v in ("??", "||", "&&"):
-                    if mixed and "??" in (mixed, v) and mixed != v:
-                        self.fail("'??' mixed with logical operators")
-                    mixed = v
                 self.advance()
-                self.binary(level - 1 if v == "**" else level)
-                kind = "bin"
+                right = self.binary(level - 1 if v == "**" else level)
+                if v == "??" and ("logic" in (kind, right)) or v in ("||", "&&") and "coalesce" in (kind, right):
+                    self.fail("'??' mixed with logical operators")
+                kind = "coalesce" if v == "??" else "logic" if v in ("||", "&&") else "bin"
             else:
                 return kind
 
@@ -1253,7 +1260,9 @@ class _Parser:
         while not self.is_p(")"):
             if self.is_p("..."):
                 self.advance()
+            covers = self.covers
             self.assign()
+            self.uncovered(covers)
             if not self.is_p(")"):
                 self.need(",")
         self.in_consequent, self.no_in = old, no_in
@@ -1403,9 +1412,7 @@ class _Parser:
                 self.need(",")
         self.in_consequent, self.no_in = old, no_in
         self.advance()
-        if cover and not self.is_p("=") and not (self.is_word("of") or self.is_word("in")):
-            if not (self.t == "p" and self.v in (",", "]", "}", ")")):
-                self.fail("'=' in an object literal")
+        self.covers += cover
         return "obj"
 
     def property(self) -> bool:
