@@ -79,10 +79,19 @@ def comment_spans(text: str, language: str) -> list[Span]:
     return spans
 
 
+_PY_HEAD = re.compile(r"(?:async[ \t]+)?def[ \t]|@")
+_JS_HEAD = re.compile(r"\bfunction\b|=>|^\s*@|^\s*(?:(?:export|default|public|private|protected|static|async|override|abstract|readonly|get|set)\s+)*[*#]?[\w$\[\]'\".]+\s*(?:<[^>]*>)?\s*\(|=\s*(?:async\s*)?\(\s*$")
+
+
 def function_span(text: str, language: str) -> Span | None:
-    """The chunk's function: from its first decorator or its head to the end of the text."""
+    """The chunk's function: from its first decorator or its head to the end of the text.
+
+    The head is the first line of code that can be one; where none can, it is the first line of code.
+    """
     lines = text.split("\n")
     inside = False
+    first = None
+    head = _PY_HEAD if language == "py" else _JS_HEAD
     for i, line in enumerate(lines):
         s = line.strip()
         if inside:
@@ -94,8 +103,11 @@ def function_span(text: str, language: str) -> Span | None:
             inside = "*/" not in s[2:]
             if inside or not s.split("*/", 1)[-1].strip():
                 continue
-        return Span(i, len(lines) - 1, "\n".join(lines[i:]))
-    return None
+        first = i if first is None else first
+        if (head.match(s) if language == "py" else head.search(s)):
+            first = i
+            break
+    return None if first is None else Span(first, len(lines) - 1, "\n".join(lines[first:]))
 
 
 def docstring_span(function: Span) -> Span | None:

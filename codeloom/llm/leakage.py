@@ -94,7 +94,7 @@ def _blocks(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, int]:
     return code[known], passage[known], int(first[-1])
 
 
-def _summed(frame: DataFrame, fold: int = 32) -> np.ndarray:
+def _summed(frame: DataFrame, size: int, fold: int = 32) -> np.ndarray:
     """Sum of the arrays in the column ``part`` (bytes of float64): combined in the executors until a few are left."""
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +111,7 @@ def _summed(frame: DataFrame, fold: int = 32) -> np.ndarray:
         parts = (parts + fold - 1) // fold
         frame = frame.repartition(parts).mapInArrow(combine, "part binary")
     rows = frame.collect()
-    return np.sum([np.frombuffer(r[0], np.float64) for r in rows], axis=0) if rows else np.zeros(0)
+    return np.sum([np.frombuffer(r[0], np.float64) for r in rows], axis=0) if rows else np.zeros(size)
 
 
 def _partial(function, size: int):
@@ -163,7 +163,7 @@ def fit(encoded: DataFrame, items: Items, latent: int = LATENT, oversample: int
         total[:size] += np.bincount(pairs % size, minlength=size)
         total[size] += n
 
-    counts = _summed(encoded.mapInArrow(_partial(count, size + 1), "part binary"))
+    counts = _summed(encoded.mapInArrow(_partial(count, size + 1), "part binary"), size + 1)
     idf = np.log((counts[size] + 1) / (counts[:size] + 1)) + 1
     sketch = np.random.default_rng(_SEED).standard_normal((size, width))
 
@@ -175,7 +175,7 @@ def fit(encoded: DataFrame, items: Items, latent: int = LATENT, oversample: int
             sums = np.add.reduceat(y[passage[order]] * weight[order][:, None], starts, axis=0)
             total.reshape(size, width)[code[order][starts]] += sums
 
-    basis, _ = np.linalg.qr(_summed(encoded.mapInArrow(_partial(forward, size * width), "part binary")).reshape(size, width))
+    basis, _ = np.linalg.qr(_summed(encoded.mapInArrow(_partial(forward, size * width), "part binary"), size * width).reshape(size, width))
 
     def gram(batch, total):
         for piece in _weighted(batch, idf):
@@ -183,7 +183,7 @@ def fit(encoded: DataFrame, items: Items, latent: int = LATENT, oversample: int
             total += (y.T @ y).ravel()
 
     square = basis.shape[1] ** 2
-    values, vectors = np.linalg.eigh(_summed(encoded.mapInArrow(_partial(gram, square), "part binary")).reshape(basis.shape[1], -1))
+    values, vectors = np.linalg.eigh(_summed(encoded.mapInArrow(_partial(gram, square), "part binary"), square).reshape(basis.shape[1], -1))
     top = np.argsort(-values)[:latent]
     return ((basis @ vectors[:, top]) * idf[:, None]).astype(np.float32)
 

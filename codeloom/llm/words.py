@@ -8,7 +8,9 @@ import unicodedata
 
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>|<!--[\s\S]*?-->")
 _WORD = re.compile(r"[^\W_]+(?:['_][^\W_]+)*")
-_MOJIBAKE = re.compile(r"[ÂÃâ][\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹Œ‘’“”•–—˜™š›œŸ¡-¿]")
+_MOJIBAKE = re.compile(r"[ÂÃâ]")
+_REST = r"[\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]"
+_PAIR = re.compile(rf"[ÂÃ]{_REST}|â{_REST}{_REST}")
 _QUOTES = str.maketrans({"’": "'", "‘": "'", "ʼ": "'", "´": "'", "`": " "})
 
 
@@ -26,7 +28,7 @@ def mended(text: str) -> str:
                 continue
         return run
 
-    return re.sub(r"[ÂÃâ][\x80-\xff€‚ƒ„…†‡ˆ‰Š‹Œ‘’“”•–—˜™š›œŸ]{1,2}", again, text)
+    return _PAIR.sub(again, text)
 
 
 def unaccented(text: str) -> str:
