@@ -116,6 +116,8 @@ def _atom_features(atom: str) -> tuple[tuple[str, ...], bool]:
         found.append("path")
     if re.fullmatch(r"[a-zA-Z]+[_\-]?\d{1,3}|\d+|v?\d+(?:\.\d+)+\w*", atom):
         found.append("idnum")
+    if "pre+" in found:
+        found = [f for f in found if f not in ("const", "words", "idnum", "path")]
     flips = len(re.findall(r"[A-Za-z]\d|\d[A-Za-z]|[a-z][A-Z]", atom))
     found.append(f"fl:{min(flips, 6)}")
     candidate = n >= 6 and (digit and (lower or upper) or symbol and (lower or upper) and n >= 8 or lower and upper or bool(m))

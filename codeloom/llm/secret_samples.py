@@ -59,7 +59,9 @@ class _Maker:
             return f"{a}{self.pick('-', '_', '.', '!', '#', '%', '@', '*', '$', '', '+')}{b}{self.chars(string.digits, 2, 4)}{self.pick('', '', '!', '?')}"
         if kind < 0.6:
             return self.chars(_ALNUM + "!#%*-_=+?.^~", 9, 20)
-        if kind < 0.8:
+        if kind < 0.7:
+            return self.chars(string.ascii_letters, 9, 14) + self.pick("!", "*", "?", "#", "%")
+        if kind < 0.85:
             return self.chars(string.ascii_lowercase + string.digits, 10, 18) + self.pick("", "!", "*", "?", "#")
         return self.chars(_ALNUM, 10, 18)
 
@@ -74,7 +76,7 @@ class _Maker:
     def issued(self) -> str:
         return self.pick(
             lambda: "ghp_" + self.chars(_ALNUM, 36, 36), lambda: "gho_" + self.chars(_ALNUM, 36, 36), lambda: "github_pat_" + self.chars(_ALNUM, 22, 22) + "_" + self.chars(_ALNUM, 59, 59),
-            lambda: "glpat-" + self.chars(_ALNUM + "-_", 20, 20), lambda: "AKIA" + self.chars(string.ascii_uppercase + string.digits, 16, 16), lambda: "ASIA" + self.chars(string.ascii_uppercase + string.digits, 16, 16),
+            lambda: "glpat-" + self.chars(_ALNUM + "-_", 20, 20), lambda: "AKIA" + self.chars(string.ascii_uppercase + "234567", 16, 16), lambda: "ASIA" + self.chars(string.ascii_uppercase + string.digits, 16, 16),
             lambda: "AIza" + self.chars(_ALNUM + "-_", 35, 35), lambda: self.pick("sk", "rk") + "_live_" + self.chars(_ALNUM, 24, 30), lambda: "xoxb-" + self.chars(string.digits, 12, 12) + "-" + self.chars(string.digits, 12, 12) + "-" + self.chars(_ALNUM, 24, 24),
             lambda: "npm_" + self.chars(_ALNUM, 36, 36), lambda: "SG." + self.chars(_ALNUM, 22, 22) + "." + self.chars(_ALNUM, 43, 43), lambda: "hf_" + self.chars(_ALNUM, 34, 34), lambda: "pypi-" + self.chars(_ALNUM + "-_", 60, 90),
             lambda: "dop_v1_" + self.chars(_HEX, 64, 64), self.jwt,
@@ -144,6 +146,7 @@ class _Maker:
             lambda: f"{self.pick('#', '//')} {self.pick('psql', 'try', 'connect with', 'was')} {scheme}://{user or 'u'}:{self.s(self.url_password())}@{self.host()}/{self.noun()}",
             lambda: f"{d}{self.pick(*_NEUTRAL)} = [{self.q(self.pick('prod', 'test', 'eu', 'main'))}, {self.q(self.s(self.issued()))}]{e}",
             lambda: self._split(d, e),
+            lambda: self._split(d, e),
             lambda: f"{name.upper()}={self.s(self.any_secret())}" if self.r.random() < 0.4 else f"export {name.upper()}={self.q(self.s(self.any_secret()))}",
             lambda: f"if {self.noun()}.{self.pick('password', 'token', 'secret')} {self.pick('==', '===')} {self.q(self.s(self.any_secret()))}:",
             lambda: f"set{self.pick('Password', 'Token', 'Secret', 'ApiKey')}({self.q(self.s(self.any_secret()))});",
@@ -200,6 +203,7 @@ class _Maker:
             lambda: f"assert {self.noun()}.{self.pick('sha', 'digest', 'hash')} == {self.q(self.hex())}",
             lambda: f"{d}{self.noun()} = {self.q(self.pick('camelCaseName', 'SomeClassName', 'snake_case_name2', 'item-14', 'Section4', 'fetchUser2', 'row_99_total'))}{e}",
             lambda: f"{d}{self.pick('data', 'DATA', 'DESCRIPTOR', 'payload', 'FIXTURE', 'bytes', 'FONT', 'SPRITE', 'WASM')} = {self.q(base64.b64encode(self.r.randbytes(self.r.randint(100, 200))).decode())}{e}",
+            lambda: f"{self.pick('FONT', 'SPRITE', 'BLOB', 'icon_data', 'DATA')} = {self.q(base64.b64encode(self.r.randbytes(self.r.randint(160, 260))).decode())}",
             lambda: f"{d}{self.pick('authorization', 'header', 'Authorization')} = {self.pick('f', '')}{self.q('Bearer ' + self.pick('{token}', '${token}', '<token>', '%s', 'xxxx', 'YOUR_TOKEN_1'))}{e}",
             lambda: f"{d}url = {self.q(f'https://{self.host()}/v2/{self.noun()}?page={self.r.randint(1, 9)}&id={self.uuid()}')}{e}",
             lambda: f"{d}url = {self.pick('f', '')}{self.q(f'https://{self.host()}/v2/{self.noun()}?access_token={self.pick("{token}", "${token}", "<token>", "TOKEN", "xxxxx")}')}{e}",

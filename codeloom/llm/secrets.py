@@ -25,7 +25,7 @@ from codeloom.session import table
 TRAINING_LINES = 3000
 SEED = 20
 #: Longer training lines are left out.
-TRAINING_TOKENS = 44
+TRAINING_TOKENS = 48
 _SPANS = T.ArrayType(T.StructType([T.StructField("line_no", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 _BREAK = re.compile("\n")
 _BLOCK = re.compile(r"\"\"\"|'''|`")
