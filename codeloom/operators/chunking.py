@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.chunker import chunk_source, read_source
 from codeloom.functions.text import content_hash, embedding_text, indexable, stem, suffix
+from codeloom.session import spread
 
 _FIELDS = (
     "rel_path string, chunk_type string, name string, parent_class string, language string, content string, line_start int, line_end int,"
@@ -45,7 +46,7 @@ def chunk_files(files: DataFrame, *, max_lines: int = 80, calls_kept: int = 20,
     ``with_errors``, a row with ``error`` besides. Several functions of one text each give a row.
     """
     scanned = files.where(indexable(F.col("rel_path"))).select("rel_path", suffix(F.col("rel_path")).alias("suffix"), "content")
-    rows = scanned.mapInArrow(_chunker(calls_kept), _FIELDS)
+    rows = spread(scanned).mapInArrow(_chunker(calls_kept), _FIELDS)
     name = F.when(F.col("chunk_type") == "module", stem(F.col("rel_path"))).otherwise(F.col("name"))
     lines = F.col("line_end") - F.col("line_start") + 1
     metadata = F.struct(lines.alias("line_count"), (lines > max_lines).alias("oversized"), "docstring", "calls")

@@ -39,3 +39,12 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
 def plain_path(path: Column) -> Column:
     """``/`` as separator and no leading ``./``."""
     return F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), r"^(\./)+", "")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores before work that is heavy for its bytes, where the scan has fewer than two tasks a core.
+
+    Larger inputs have more tasks than that and are left where they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < 2 * cores else df
