@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.llm.words import mended
-from codeloom.session import table
+from codeloom.session import spread, table
 
 LANGUAGES = ("en", "de", "fr", "es", "pt", "it")
 DIM = 1024
@@ -225,7 +225,7 @@ def identify(documents: DataFrame, profiles: Profiles | None = None) -> DataFram
     from 1, fenced code included.
     """
     profiles = profiles or fit(documents)
-    return documents.select("doc_id", "text", "lang").mapInArrow(
+    return spread(documents.select("doc_id", "text", "lang")).mapInArrow(
         _labeller(profiles), "doc_id long, seg_no int, lang string, confidence double, label string"
     )
 

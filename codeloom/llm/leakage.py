@@ -19,15 +19,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.words import words
-from codeloom.session import cut, table
+from codeloom.session import cut, spread, table
 
 MIN_WORDS = 20
 #: One altered word in so many.
 ALTERED = 10
 #: Latent dimensions and further ones of the random sketch.
-LATENT, OVERSAMPLE = 56, 16
-WINDOW, STRIDE = 20, 4
-MIN_COSINE = 0.5
+LATENT, OVERSAMPLE = 48, 16
+#: Words of a window; steps of the windows of documents and of items.
+WINDOW, STRIDE, ITEM_STRIDE = 20, 4, 4
+MIN_COSINE = 0.55
 #: Items above this number are no held-out set of fixed size; they are searched in blocks of so many.
 ITEM_BLOCK = 5000
 #: A run of intact words that every passage within the bounds has: 18 of 20 words in at most three runs.
@@ -240,7 +241,7 @@ def _searcher(items: Items, latent: np.ndarray, min_cosine: float):
     vectors, owners = [], []
     for n, code in enumerate(items.codes):
         if len(code) >= MIN_WORDS - MIN_WORDS // ALTERED:
-            _, v = windows(code, latent, STRIDE)
+            _, v = windows(code, latent, ITEM_STRIDE)
             vectors.append(v)
             owners.append(np.full(len(v), n))
     targets = np.vstack(vectors) if vectors else np.zeros((0, latent.shape[1]), np.float32)
@@ -314,7 +315,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, *, min_cosine: float = MI
     held = Items([(i, t or "") for i, t in rows])
     if not held.vocabulary:
         return documents.limit(0).select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).cast("float").alias("cosine"))
-    encoded = cut(documents.mapInArrow(_encoder(held.vocabulary), "doc_id long, codes array<int>"))
+    encoded = cut(spread(documents).mapInArrow(_encoder(held.vocabulary), "doc_id long, codes array<int>"))
     latent = fit(encoded, held)
     return encoded.mapInArrow(_searcher(held, latent, min_cosine), _FOUND).dropDuplicates(["doc_id", "item_id"])
 

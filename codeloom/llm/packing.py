@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.session import cut, table
+from codeloom.session import cut, spread, table
 
 CAPACITY = 2048
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -61,7 +61,7 @@ def sized_items(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str =
                 rows += [(doc_id, k, a, b, b - a) for k, (a, b) in enumerate(pieces(n, capacity), 1)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types.values())], names=list(types))
 
-    return documents.select("doc_id", "text").mapInArrow(measure, _ITEMS)
+    return spread(documents.select("doc_id", "text")).mapInArrow(measure, _ITEMS)
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.ecma import EcmaError, parse
-from codeloom.session import table
+from codeloom.session import spread, table
 
 #: Grammars by suffix.
 GRAMMARS = ("py", "js", "jsx", "ts", "tsx")
@@ -96,9 +96,9 @@ def check_files(files: DataFrame) -> DataFrame:
     ``parses``. Null and empty contents parse. Repeated rows count each; further columns are left out.
     """
     suffix = F.lower(F.regexp_extract("rel_path", r"\.([A-Za-z]+)$", 1))
-    return files.select(
+    return spread(files.select(
         "index_run_id", "repo_id", "rel_path", F.when(suffix.isin(*GRAMMARS), suffix).otherwise(F.col("language")).alias("language"), "content"
-    ).mapInArrow(_check, _SCHEMA)
+    )).mapInArrow(_check, _SCHEMA)
 
 
 def failure_rates(checked: DataFrame) -> DataFrame:
