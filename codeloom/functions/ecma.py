@@ -20,6 +20,10 @@ class EcmaError(ValueError):
         self.line = line
 
 
+class _Fail(Exception):
+    """A rule does not match at an offset; attempts fail often, so the line is counted only for the error that stays."""
+
+
 class Declaration(NamedTuple):
     """A function, method or class: places are offsets in the text, ``owner`` is the enclosing class."""
 
@@ -94,8 +98,7 @@ class _Parser:
     # tokens
 
     def fail(self, message: str, at: int | None = None):
-        at = self.s if at is None else at
-        raise EcmaError(message, self.src.count("\n", 0, at) + 1)
+        raise _Fail(message, self.s if at is None else at)
 
     def advance(self):
         self.last_end = self.e
@@ -133,7 +136,7 @@ class _Parser:
         flags = (self.in_function, self.in_async, self.in_generator, self.no_in, self.in_consequent, self.no_conditional_type, self.ambient, self.breakable, self.loop, self.owner, self.covers, len(self.labels))
         try:
             return rule()
-        except EcmaError:
+        except _Fail:
             self.back(state)
             (self.in_function, self.in_async, self.in_generator, self.no_in, self.in_consequent, self.no_conditional_type, self.ambient, self.breakable, self.loop, self.owner, self.covers, n) = flags
             del self.labels[n:]
@@ -1691,7 +1694,7 @@ class _Parser:
                         self.union()
                         if self.is_p("?") and not old:
                             self.back(state)
-                    except EcmaError:
+                    except _Fail:
                         self.back(state)
                     self.no_conditional_type = old
                 return
@@ -1909,6 +1912,9 @@ def parse(source: str, *, ts: bool = False, jsx: bool = False) -> list[Declarati
         sys.setrecursionlimit(60_000)
     try:
         return _Parser(source, ts, jsx).program()
+    except _Fail as problem:
+        message, at = problem.args
+        raise EcmaError(message, source.count("\n", 0, at) + 1) from None
     except RecursionError:
         raise EcmaError("nested too deeply", 1) from None
     finally:
