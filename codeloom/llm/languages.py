@@ -9,6 +9,7 @@ are left out in a second round, and a few rounds of correction move prototypes b
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -40,7 +41,9 @@ _NAMES = {
 _CODES = {name: code for code, names in _NAMES.items() for name in names.split()}
 
 _FENCE = re.compile(r"^[ \t]*(`{3,}|~{3,})")
-_INLINE = re.compile(r"`[^`\n]*`|</?[A-Za-z][^<>\n]*>|https?://\S+|\S*[\w]+[_./\\@][\w./\\@-]+\S*|[\w]+\(\)|\b\w*\d\w*\b")
+_INLINE = re.compile(r"`[^`\n]*`|</?[A-Za-z][^<>\n]*>")
+#: Words that are addresses, paths, identifiers, calls or hold digits.
+_CODEY = re.compile(r"[^\W_][_./\\@]+[^\W_]|\d|\w\(\)|://")
 _LETTERS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 
 
@@ -81,7 +84,11 @@ def paragraphs(text: str) -> list[tuple[str, bool]]:
 
 def prose(paragraph: str) -> str:
     """Words of a paragraph in lower case with single spaces, without code, tags, addresses and identifiers."""
-    return " ".join(_LETTERS.findall(_INLINE.sub(" ", mended(paragraph)).lower().replace("’", "'")))
+    text = mended(paragraph)
+    if "`" in text or "<" in text:
+        text = _INLINE.sub(" ", text)
+    plain = " ".join([w for w in text.split() if not _CODEY.search(w)])
+    return " ".join(_LETTERS.findall(plain.lower().replace("’", "'")))
 
 
 @lru_cache(maxsize=8192)
@@ -89,7 +96,6 @@ def _letter(c: str) -> np.ndarray:
     return (np.random.default_rng((_SEED, ord(c))).integers(0, 2, DIM, dtype=np.int8) * 2 - 1).astype(np.int8)
 
 
-@lru_cache(maxsize=32_768)
 def _gram(gram: str) -> np.ndarray:
     """Binding of permuted letters."""
     bound = np.ones(DIM, np.int8)
@@ -98,16 +104,44 @@ def _gram(gram: str) -> np.ndarray:
     return bound
 
 
+class _Grams:
+    """Vectors of the n-grams met so far, by row; begun anew when full."""
+
+    def __init__(self, rows: int = 32_768):
+        self.rows = rows
+        self.index: dict[str, int] = {}
+        self.vectors = np.empty((256, DIM), np.int8)
+
+    def of(self, grams) -> np.ndarray:
+        index = self.index
+        try:
+            return self.vectors[[index[g] for g in grams]]
+        except KeyError:
+            pass
+        if len(index) + len(grams) > self.rows:
+            index.clear()
+        found = []
+        for g in grams:
+            at = index.get(g)
+            if at is None:
+                at = index[g] = len(index)
+                if at == len(self.vectors):
+                    self.vectors = np.concatenate([self.vectors, np.empty_like(self.vectors)])
+                self.vectors[at] = _gram(g)
+            found.append(at)
+        return self.vectors[found]
+
+
+_GRAMS = _Grams()
+
+
 def bundle(text: str) -> np.ndarray:
     """Unit vector of a text: the sum of its n-grams, square roots of counts as weights; zero for a text without letters."""
-    padded = f" {text} "
-    counts: dict[str, int] = {}
-    for i in range(len(padded) - GRAM + 1):
-        g = padded[i : i + GRAM]
-        counts[g] = counts.get(g, 0) + 1
-    if not text or not counts:
+    if not text:
         return np.zeros(DIM, np.float32)
-    vector = np.sqrt(np.fromiter(counts.values(), np.float32, len(counts))) @ np.stack([_gram(g) for g in counts]).astype(np.float32)
+    padded = f" {text} "
+    counts = Counter([padded[i : i + GRAM] for i in range(len(padded) - GRAM + 1)])
+    vector = np.sqrt(np.fromiter(counts.values(), np.float32, len(counts))) @ _GRAMS.of(counts).astype(np.float32)
     norm = np.linalg.norm(vector)
     return vector / norm if norm > 0 else vector
 

@@ -63,10 +63,10 @@ def _bucket(n: int) -> int:
     return n if n < 6 else 6 if n < 8 else 8 if n < 12 else 12 if n < 16 else 16 if n < 24 else 24 if n < 36 else 36 if n < 48 else 48 if n < 80 else 80 if n < 120 else 120 if n < 220 else 220
 
 
-@lru_cache(maxsize=50_000)
+@lru_cache(maxsize=10_000)
 def _basic(atom: str) -> bool:
     """Whether the text is base64 of ``user:password``."""
-    if len(atom) < 8 or not re.fullmatch(r"[A-Za-z0-9+/]+={0,2}", atom):
+    if not 8 <= len(atom) <= 400 or not re.fullmatch(r"[A-Za-z0-9+/]+={0,2}", atom):
         return False
     try:
         raw = base64.b64decode(atom + "=" * (-len(atom) % 4))
@@ -75,8 +75,13 @@ def _basic(atom: str) -> bool:
     return raw.isascii() and raw.decode("ascii").isprintable() and 0 < raw.find(b":") < len(raw) - 3
 
 
-@lru_cache(maxsize=50_000)
 def _atom_features(atom: str) -> tuple[tuple[str, ...], bool]:
+    """Of an atom; only short ones are kept in memory."""
+    return _short_atom_features(atom) if len(atom) <= 200 else _short_atom_features.__wrapped__(atom)
+
+
+@lru_cache(maxsize=50_000)
+def _short_atom_features(atom: str) -> tuple[tuple[str, ...], bool]:
     """Features of a run without spaces in a literal, and whether a secret may begin in it."""
     lower, upper = bool(re.search("[a-z]", atom)), bool(re.search("[A-Z]", atom))
     digit, symbol = bool(re.search(r"\d", atom)), bool(_SYMBOL.search(atom))
@@ -185,7 +190,7 @@ def lex(line: str, before: str = "", in_string: bool = False, skip_closed: bool
         f, c = _atom_features(joined)
         if "pre+" in f:
             atoms = [(s, e, k, (*f, "joined"), True) if k == "str" and e - s >= 2 and line[s:e] in joined else (s, e, k, g, d) for s, e, k, g, d in atoms]
-    users = [m.span(1) for m in _USERINFO.finditer(line)]
+    users = [m.span(1) for m in _USERINFO.finditer(line)] if "://" in line else []
     if skip_closed and not users and not any(atom[4] for atom in atoms):
         return Line([], [], [])
     env = bool(_ENV.search(line))
@@ -333,6 +338,8 @@ class Crf:
 
     def of(self, line: str, before: str, in_string: bool) -> tuple[tuple[int, int], ...]:
         """Places of the secrets in a text line; repeated lines are labelled once."""
+        if len(line) + len(before) > 500:
+            return tuple(self.spans(lex(line, before, in_string, True)))
         key = (line, before, in_string)
         found = self.cache.get(key)
         if found is None:

@@ -91,22 +91,23 @@ def split_oversized(
     pieces = F.flatten(
         F.transform(blocks, lambda b: F.when(F.length(b) <= F.col("_most"), F.array(b)).otherwise(F.regexp_extract_all(b, F.col("_pattern"), F.lit(0))))
     )
+    begin = F.col("_p._ends") - F.length("_p._pieces")
+    upto = lambda i, n: F.aggregate(F.slice("_pieces", 1, i), F.lit(0), lambda a, p: a + n(p))
+    breaks = lambda p: F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit("")))
     cut = (
         over.withColumn("_most", most)
         .withColumn("_pattern", _by_chars(F.col("_most")))
         .withColumn("_pieces", pieces)
-        .withColumn(
-            "_ends",
-            F.transform(F.sequence(F.lit(1), F.size("_pieces")), lambda i: F.aggregate(F.slice("_pieces", 1, i), F.lit(0), lambda a, p: a + F.length(p))),
-        )
-        .select("id", "_from", "content", F.posexplode(F.arrays_zip("_pieces", "_ends")).alias("_no", "_p"))
-        .select("id", "_from", (F.col("_no") + 1).alias("piece_no"), F.col("_p._pieces").alias("_core"), F.substring("content", F.lit(1), F.col("_p._ends") - F.length("_p._pieces")).alias("_before"))
+        .withColumn("_ends", F.transform(F.sequence(F.lit(1), F.size("_pieces")), lambda i: upto(i, F.length)))
+        .withColumn("_breaks", F.transform(F.sequence(F.lit(0), F.size("_pieces") - 1), lambda i: upto(i, breaks)))
+        .select("id", "_from", "content", F.posexplode(F.arrays_zip("_pieces", "_ends", "_breaks")).alias("_no", "_p"))
+        .select("id", "_from", (F.col("_no") + 1).alias("piece_no"), F.col("_p._pieces").alias("_core"), begin.alias("_begin"), F.substring("content", F.greatest(F.lit(1), begin - max_chars), F.least(begin, F.lit(max_chars + 1))).alias("_before"), F.col("_p._breaks").alias("_breaks"))
     )
     spare_lines = F.lit(max_lines) - line_count(F.col("_core"))
     backs = F.array(*[F.regexp_extract(F.col("_before"), rf"(?:\n|^)((?:[^\n]*\n){{{k}}})\z", 1) for k in range(overlap_lines, 0, -1)]) if overlap_lines else F.array(F.lit(""))
     fitting = F.filter(backs, lambda b: (b != "") & (F.length(b) + F.length("_core") <= max_chars) & (line_count(b) <= spare_lines))
     back = F.coalesce(F.get(fitting, F.lit(0)), F.lit(""))
-    first = F.col("_from") + (F.length("_before") - F.length(F.replace(F.col("_before"), F.lit("\n"), F.lit("")))) - line_count(F.col("_back"))
+    first = F.col("_from") + F.col("_breaks") - line_count(F.col("_back"))
     return (
         cut.withColumn("_back", back)
         .withColumn("content", F.concat("_back", "_core"))

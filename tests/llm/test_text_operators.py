@@ -341,3 +341,17 @@ def test_labels():
 def test_paragraph_numbers():
     text = "a\n\n\n```js\nx\n\ny\n```\nb\nc\n \n~~~\nopen"
     assert [(p, f) for p, f in languages.paragraphs(text)] == [("a", False), ("```js\nx\n\ny\n```", True), ("b\nc", False), ("~~~\nopen", True)]
+
+
+def test_very_long_texts_end(spark):
+    long = "x" * 200_000 + " a1B2c3" * 3000 + "\n" + "word " * 20_000 + "\n" + "k=1\n" * 6000
+    crf = secrets.model()
+    secrets.secret_spans(long, crf)
+    secrets.secret_spans('token = "' + "Ab1" * 60_000 + '"', crf)
+    languages.prose(long)
+    words(long)
+    assert doc_pairs.documentation("# " + long.replace("\n", " ") + "\ndef f():\n    pass\n", "f", "py") is not None
+    parse_check.verdict("let a = [" + "1, (b), c<d>(e), " * 20_000 + "];", "ts")
+    pieces = splitting.split_oversized(items(spark, long)).orderBy("piece_no").collect()
+    assert "".join(p.content[p.core_start :] for p in pieces) == long
+    assert written_by_hand.file_kinds(spark.createDataFrame([("1", "r", "a", "p.py", "module", "n", "py", long)], FILE)).count() == 1
