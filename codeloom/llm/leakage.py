@@ -34,6 +34,7 @@ ITEM_BLOCK = 5000
 #: A run of intact words that every passage within the bounds has: 18 of 20 words in at most three runs.
 _RUN = 6
 _SEED = 11
+_MARGIN = 48
 #: Words in memory at a time, and words of a document searched at a time.
 _PIECE = 40_000
 _SEGMENT = 20_000
@@ -47,12 +48,19 @@ class Items:
         self.vocabulary = {w: k for k, w in enumerate(sorted({w for _, ws in texts for w in ws}))}
         self.ids = [i for i, _ in texts]
         self.codes = [np.array([self.vocabulary[w] for w in ws], np.int32) for _, ws in texts]
-        runs: dict[int, list[tuple[int, int]]] = {}
-        for n, code in enumerate(self.codes):
-            for at, key in enumerate(run_keys(code).tolist()):
-                runs.setdefault(key, []).append((n, at))
-        self.runs = runs
-        self.keys = np.array(sorted(runs), np.int64)
+        keys = [run_keys(code) for code in self.codes]
+        key = np.concatenate([np.empty(0, np.int64), *keys])
+        order = np.argsort(key, kind="stable")
+        self.run_item = np.repeat(np.arange(len(keys)), [len(k) for k in keys])[order]
+        self.run_at = np.concatenate([np.empty(0, np.int64), *[np.arange(len(k)) for k in keys]])[order]
+        self.keys, first = np.unique(key[order], return_index=True)
+        self.run_first = np.append(first, len(order))
+        # All items in a row, far enough apart that no place of one reaches into another.
+        lengths = np.array([len(c) for c in self.codes], np.int64)
+        self.begins = _MARGIN + np.concatenate([[0], np.cumsum(lengths + _MARGIN)])[:-1] if len(lengths) else lengths
+        self.flat = np.full(int(lengths.sum()) + _MARGIN * (len(lengths) + 2), -2, np.int32)
+        for begin, code in zip(self.begins, self.codes):
+            self.flat[begin : begin + len(code)] = code
 
 
 def run_keys(code: np.ndarray) -> np.ndarray:
@@ -251,32 +259,59 @@ def _searcher(items: Items, latent: np.ndarray, min_cosine: float):
     place = np.full(len(items.codes), -1)
     place[names] = np.arange(len(names))
     lists = [c.tolist() for c in items.codes]
-    keys, runs, ids = items.keys, items.runs, items.ids
+    keys, ids = items.keys, items.ids
+    around = np.arange(_RUN - MIN_WORDS, MIN_WORDS + 1)
+    shifts = range(-(MIN_WORDS // ALTERED), MIN_WORDS // ALTERED + 1)
     fields = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float32())])
 
+    def runs_at(code: np.ndarray, key: np.ndarray, places: np.ndarray, low: int):
+        """(place in the text, item, place in the item) of intact runs, the first of each row of them."""
+        key = key[places]
+        count = items.run_first[key + 1] - items.run_first[key]
+        p = np.repeat(places, count)
+        entry = np.repeat(items.run_first[key], count) + np.arange(len(p)) - np.repeat(np.cumsum(count) - count, count)
+        n, q = items.run_item[entry], items.run_at[entry]
+        further = (p > low) & (q > 0) & (code[np.maximum(p - 1, 0)] == items.flat[items.begins[n] + q - 1])
+        kept = ~further & (place[n] >= 0)
+        return p[kept], n[kept], q[kept]
+
+    def may_hold(padded: np.ndarray, p: np.ndarray, n: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Whether enough of the item's words around a run stand where they could in the text: a bound from above on intact words."""
+        wanted = items.flat[(items.begins[n] + q)[:, None] + around]
+        met = np.zeros(wanted.shape, bool)
+        for shift in shifts:
+            met |= padded[(p + _MARGIN + shift)[:, None] + around] == wanted
+        sums = np.cumsum(np.pad(met & (wanted >= 0), ((0, 0), (1, 0))), axis=1)
+        return (sums[:, MIN_WORDS:] - sums[:, :-MIN_WORDS]).max(1) >= MIN_WORDS - MIN_WORDS // ALTERED
+
     def segment(code: np.ndarray, best: dict[int, float]) -> None:
         """Adds the items that the words hold, by candidate windows, with the windows' cosine."""
         starts, v = windows(code, latent, STRIDE)
         run = run_keys(code)
-        at = np.minimum(np.searchsorted(keys, run), len(keys) - 1)
+        at = np.minimum(np.searchsorted(keys, run), max(0, len(keys) - 1))
         intact = (keys[at] == run) & (run >= 0) if len(keys) else np.zeros(len(run), bool)
+        padded = np.pad(code, _MARGIN, constant_values=-3)
         text = None
         for block in range(0, len(starts), 256):
             begin = starts[block : block + 256]
+            low = int(begin[0])
+            places = np.flatnonzero(intact[low : begin[-1] + WINDOW]) + low
+            if not len(places):
+                continue
             close = np.maximum.reduceat(v[block : block + 256] @ targets.T, firsts, axis=1)
-            hot = close >= min_cosine
-            if not hot.any():
+            hot = np.cumsum(np.pad(close >= min_cosine, ((1, 0), (0, 0))), axis=0)
+            p, n, q = runs_at(code, at, places, low)
+            # Windows that begin at most a window before the run are the candidates around it.
+            first, last = np.searchsorted(begin, p - WINDOW, "right"), np.searchsorted(begin, p + _RUN, "right")
+            near = hot[last, place[n]] > hot[first, place[n]]
+            p, n, q, first, last = p[near], n[near], q[near], first[near], last[near]
+            likely = may_hold(padded, p, n, q)
+            if not likely.any():
                 continue
             text = code.tolist() if text is None else text
-            low = int(begin[0])
-            for p in (np.flatnonzero(intact[low : begin[-1] + WINDOW]) + low).tolist():
-                # Windows that begin at most a window before the run are the candidates around it.
-                near = slice(int(np.searchsorted(begin, p - WINDOW, "right")), int(np.searchsorted(begin, p + _RUN, "right")))
-                for n, q in runs[int(run[p])]:
-                    if n in best or place[n] < 0 or p > low and q and text[p - 1] == lists[n][q - 1]:
-                        continue
-                    if hot[near, place[n]].any() and holds(text, p, lists[n], q):
-                        best[n] = float(close[near, place[n]].max())
+            for p_, n_, q_, a, b in zip(*(x[likely].tolist() for x in (p, n, q, first, last))):
+                if n_ not in best and holds(text, p_, lists[n_], q_):
+                    best[n_] = float(close[a:b, place[n_]].max())
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
