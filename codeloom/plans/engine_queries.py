@@ -13,6 +13,11 @@ from codeloom.streaming import events as ev
 T = table
 
 
+def _utc(df, *columns):
+    """Times as text, so that no comparison depends on a reader's time zone."""
+    return df.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") for c in columns})
+
+
 def _active(spark, d):
     return search.active_chunks(T(spark, d, "code_chunks"), T(spark, d, "repositories"))
 
@@ -96,7 +101,7 @@ def content_hash_check(spark, d):
 
 
 def existing_chunks_by_hash(spark, d):
-    return index_store.existing_by_hash(_active(spark, d)).select("content_hash", "id", "created_at")
+    return index_store.existing_by_hash(_active(spark, d)).select("content_hash", "id", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("created_at"))
 
 
 def _two_runs(spark, d):
@@ -192,15 +197,15 @@ def format_context(spark, d):
 
 
 def reviews_latest(spark, d):
-    return reviews.reviews_latest(T(spark, d, "pr_reviews"))
+    return _utc(reviews.reviews_latest(T(spark, d, "pr_reviews")), "created_at")
 
 
 def reviews_first(spark, d):
-    return reviews.reviews_first(T(spark, d, "pr_reviews"))
+    return _utc(reviews.reviews_first(T(spark, d, "pr_reviews")), "created_at")
 
 
 def review_progress(spark, d):
-    return reviews.review_progress(T(spark, d, "pr_reviews"))
+    return _utc(reviews.review_progress(T(spark, d, "pr_reviews")), "first_reviewed_at", "last_reviewed_at")
 
 
 def review_next_run(spark, d):
@@ -344,6 +349,7 @@ _ACTIVE = "SELECT c.* FROM code_chunks c WHERE c.index_run_id IN (SELECT active_
 _RUNS = "SELECT c.* FROM code_chunks c JOIN index_runs r ON r.id = c.index_run_id AND r.status = '{}'"
 _LATEST = "SELECT * FROM pr_reviews QUALIFY row_number() OVER (PARTITION BY repo_id, pr_number ORDER BY created_at DESC, id DESC) = 1"
 _FIRST = "SELECT * FROM pr_reviews QUALIFY row_number() OVER (PARTITION BY repo_id, pr_number ORDER BY created_at, id) = 1"
+_UTC = "strftime({} AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S.%f')"
 _DOCS = """WITH d AS (
   SELECT doc_id, 'src/m' || (doc_id % 7) || '/file_' || doc_id || ['.py', '.ts', '.md'][doc_id % 3 + 1] AS path,
          list_transform(string_split(text, chr(10)), lambda x, i: CASE (i - 1) % 3 WHEN 0 THEN '+' WHEN 1 THEN '-' ELSE ' ' END || regexp_replace(x, '[^\\x20-\\x7e]', '?', 'g')) AS lines
@@ -385,7 +391,7 @@ ORACLE = {
     "active_run_lookup": f"SELECT repo_id, index_run_id, count(*) AS chunks, count(DISTINCT file_path) AS files FROM ({_ACTIVE}) GROUP BY 1, 2",
     "repository_by_name": "SELECT id, full_name, status, active_index_run_id FROM repositories WHERE full_name LIKE '%/%'",
     "content_hash_check": r"""SELECT id, sha256(content || regexp_replace(replace(file_path, '\', '/'), '^(\./)+', '')) AS computed, computed = lower(content_hash) AS agrees FROM code_chunks""",
-    "existing_chunks_by_hash": f"SELECT content_hash, id, created_at FROM ({_ACTIVE}) QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY created_at DESC, id DESC) = 1",
+    "existing_chunks_by_hash": f"SELECT content_hash, id, {_UTC.format('created_at')} AS created_at FROM (SELECT *, created_at AS made FROM ({_ACTIVE})) QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY made DESC, id DESC) = 1",
     "incremental_split_copy": f"WITH o AS (SELECT * FROM ({_RUNS.format('superseded')}) QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY created_at DESC, id DESC) = 1), n AS ({_RUNS.format('completed')})"
     " SELECT o.language, o.chunk_type, count(*) AS chunks FROM n JOIN o USING (content_hash) GROUP BY 1, 2",
     "incremental_split_new": f"WITH o AS ({_RUNS.format('superseded')}), n AS ({_RUNS.format('completed')}) SELECT id, content_hash FROM n WHERE content_hash NOT IN (SELECT content_hash FROM o)",
@@ -415,10 +421,10 @@ ORACLE = {
     "format_context": f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY index_run_id ORDER BY id) AS p FROM ({_ACTIVE}) QUALIFY p <= 10)
  SELECT index_run_id, sha256(string_agg('[' || p || '] ' || CASE WHEN parent_class <> '' THEN parent_class || '.' ELSE '' END || name || ' (' || chunk_type || ') — ' || file_path || ':' || coalesce(line_start::VARCHAR, 'None') || '-' || coalesce(line_end::VARCHAR, 'None')
  || chr(10) || content, chr(10) || chr(10) ORDER BY p)) AS context_hash FROM r GROUP BY 1""",
-    "reviews_latest": _LATEST,
-    "reviews_first": _FIRST,
+    "reviews_latest": f"SELECT * REPLACE ({_UTC.format('created_at')} AS created_at) FROM ({_LATEST})",
+    "reviews_first": f"SELECT * REPLACE ({_UTC.format('created_at')} AS created_at) FROM ({_FIRST})",
     "review_progress": f"""SELECT f.repo_id, f.pr_number, f.pr_title, l.review_run AS total_runs, f.issues_found AS initial_issues, l.issues_found AS current_issues, f.issues_found - l.issues_found AS issues_fixed,
- f.review_decision AS initial_decision, l.review_decision AS latest_decision, l.issues_resolved, f.created_at AS first_reviewed_at, l.created_at AS last_reviewed_at
+ f.review_decision AS initial_decision, l.review_decision AS latest_decision, l.issues_resolved, {_UTC.format('f.created_at')} AS first_reviewed_at, {_UTC.format('l.created_at')} AS last_reviewed_at
  FROM ({_FIRST}) f JOIN ({_LATEST}) l ON f.repo_id = l.repo_id AND f.pr_number = l.pr_number""",
     "review_next_run": "SELECT repo_id, pr_number, (count(*) + 1)::INT AS next_run FROM pr_reviews GROUP BY 1, 2",
     "review_append": """WITH b AS (SELECT repo_id, pr_number, count(*) AS n FROM pr_reviews WHERE review_run = 1 GROUP BY 1, 2), i AS (SELECT * FROM pr_reviews WHERE review_run > 1)
