@@ -27,6 +27,8 @@ GRAM = 3
 #: The sample for fitting: labelled documents of each language, none longer than so many characters.
 SAMPLE_PER_LANGUAGE = 300
 SAMPLE_CHARS = 4000
+#: Paragraphs with fewer letters count only where the language is this sure.
+MIN_LETTERS, SURE = 20, 0.95
 _SEED = 3
 
 # Names and codes of the languages.
@@ -203,6 +205,9 @@ class Profiles:
             words = "" if fenced else prose(paragraph)
             if words:
                 parts.append((number, len(words), *self.language(words)))
+        # A few letters tell little: they have no vote beside longer paragraphs, and depart from none.
+        telling = [p for p in parts if p[1] >= MIN_LETTERS or p[3] >= SURE]
+        parts = telling or parts
         if not parts:
             return None, 0.0, []
         mass: dict[str, float] = {}
