@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import hmac
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,17 +66,24 @@ def deduplicated(jobs: DataFrame, horizon: str = HORIZON) -> DataFrame:
 def deduplicated_table(jobs: DataFrame, horizon_s: int = 3600) -> DataFrame:
     """The same over a table: a job is dropped if one of its key was kept at most ``horizon_s`` before it.
 
-    A kept job opens a window and the next one outside opens another; the fold over a key's sorted times keeps those that open one.
+    Rows pass once, sorted by key and time, with the last kept time as the only state, so that no key is gathered in memory.
+    Jobs of one key and time are one; a null time is never kept.
     """
-    start = F.struct(F.lit(None).cast("timestamp").alias("last"), F.array().cast("array<timestamp>").alias("kept"))
 
-    def step(state, ts):
-        opens = state["last"].isNull() | (F.unix_micros(ts) - F.unix_micros(state["last"]) > horizon_s * 1_000_000)
-        return F.struct(F.when(opens, ts).otherwise(state["last"]).alias("last"), F.when(opens, F.concat(state["kept"], F.array(ts))).otherwise(state["kept"]).alias("kept"))
-
-    times = jobs.groupBy("job_id", F.window("ts", "365 days").alias("_year")).agg(F.array_sort(F.collect_set("ts")).alias("_times"))
-    kept = times.select("job_id", F.explode(F.aggregate("_times", start, step)["kept"]).alias("ts"))
-    return jobs.join(kept, ["job_id", "ts"], "left_semi").dropDuplicates(["job_id", "ts"])
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last = None, 0
+        for batch in batches:
+            times = batch.column("ts").cast(pa.int64()).to_pylist()
+            keep = []
+            for job, ts in zip(batch.column("job_id").to_pylist(), times):
+                opens = ts is not None and (job != key or ts - last > horizon_s * 1_000_000)
+                if opens:
+                    key, last = job, ts
+                keep.append(opens)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    ordered = jobs.dropDuplicates(["job_id", "ts"]).repartition("job_id").sortWithinPartitions("job_id", "ts")
+    return ordered.mapInArrow(thin, jobs.schema)
 
 
 def latest_jobs(jobs: DataFrame) -> DataFrame:
