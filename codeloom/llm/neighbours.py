@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.session import broadcast_if_small, plain_path, table
+from codeloom.session import broadcast_if_small, cut, plain_path, table
 
 K = 5
 DIM = 64
@@ -185,6 +185,7 @@ def nearest(
         .where(F.exists(v, lambda x: x != 0))
         .withColumn("_h", F.xxhash64("_v"))
     )
+    kept = cut(kept.select("_g", "_h", "_id", "_v"))  # read several times below
     members = kept.select("_g", "_h", "_id")
     copies = Window.partitionBy("_g", "_h").orderBy("_id")
     classes = (
@@ -194,6 +195,7 @@ def nearest(
         .groupBy("_g", "_h")
         .agg(F.min_by("_u", "_id").alias("_u"), F.array_sort(F.collect_list("_id")).alias("_ids"))
     )
+    classes = cut(classes)
     sizes = classes.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
     sized = classes.join(broadcast_if_small(sizes, 200_000), "_g")
     small = sized.where(F.col("_n") <= exact_rows).select("_g", F.lit(0).alias("_leaf"), F.lit(False).alias("_query"), "_h", "_u", "_ids")
