@@ -22,7 +22,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir")
+        shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
         if shared is None:
             if not (context.master or "").startswith("local"):
                 raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
