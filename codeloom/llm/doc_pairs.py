@@ -266,9 +266,14 @@ def says_something(doc: str, name: str, min_words: int = MIN_WORDS) -> bool:
     return bool(set(words) - name_words(name) - {name.lower()})
 
 
-@lru_cache(maxsize=4096)
 def documentation(content: str | None, name: str | None, language: str | None) -> str | None:
-    """The documentation of a chunk's function if it says something, else null."""
+    """The documentation of a chunk's function if it says something, else null; that of short texts is kept for their copies."""
+    find = _documentation_of if len(content or "") <= 4000 else _documentation_of.__wrapped__
+    return find(content, name, language)
+
+
+@lru_cache(maxsize=4096)
+def _documentation_of(content: str | None, name: str | None, language: str | None) -> str | None:
     if not content:
         return None
     text = _newlines(content)
