@@ -2,7 +2,7 @@
 
 Each group with more than ``exact_rows`` distinct vectors gets a forest of trees, fitted on a bounded sample of the group; every
 vector is put into one leaf of each tree. A query descends all trees at once through one priority queue, the leaf
-with the widest margin first, until it has seen enough candidates; its cosines with the vectors of these leaves are exact. Smaller
+with the widest margin first, until it has seen enough candidates, a fixed share of the group's rows; its cosines with the vectors of these leaves are exact. Smaller
 groups are a single leaf and so are searched exactly. Copies of a vector are one class, searched once.
 """
 
@@ -19,16 +19,19 @@ K = 5
 DIM = 64
 #: Groups up to this size are one leaf.
 EXACT_ROWS = 2048
-#: The forest: trees, rows aimed at in a leaf, candidates a query sees (with repeats over trees), rows of a group that it is fitted on.
+#: The forest: trees, least rows aimed at in a leaf, most leaves of a tree (which bounds how often a row travels), rows of a group that it is fitted on.
 TREES = 10
 LEAF_ROWS = 1024
+MOST_LEAVES = 64
+#: Candidates a query sees, with repeats over trees: so many rows, and at least this share of the group, without which recall falls as groups grow.
 SEARCH_ROWS = 12_000
+SEARCH_SHARE = 0.8
 SAMPLE_ROWS = 65_536
 #: Rows whose leaves are found in one task.
 SLICE_ROWS = 20_000
 
 
-def build_forest(sample: np.ndarray, rows: int, trees: int, leaf_rows: int, seed: int) -> np.ndarray:
+def build_forest(sample: np.ndarray, rows: int, trees: int, leaf_rows: float, seed: int) -> np.ndarray:
     """Planes of complete trees: array (trees, nodes, dim + 1); node i has children 2i+1 and 2i+2, the last column is the offset.
 
     A plane is midway in rank between the node's vectors along the difference of two of them.
@@ -83,7 +86,7 @@ def _forest_of_group(trees: int, leaf_rows: int, dim: int):
         unit = _units(batch.column("_u"), dim)
         rows = batch.column("_n")[0].as_py()
         order = np.argsort(np.asarray(batch.column("_h")))  # the same forest whatever the order of arrival
-        planes = build_forest(unit[order], rows, trees, leaf_rows, rows % 1009)
+        planes = build_forest(unit[order], rows, trees, max(leaf_rows, rows / MOST_LEAVES), rows % 1009)
         leaves = planes.shape[1] + 1
         return pa.table({"_g": batch.column("_g")[:1], "_leaves": pa.array([leaves], pa.int32()), "_planes": pa.array([planes.tobytes()], pa.binary())})
 
@@ -93,7 +96,13 @@ def _forest_of_group(trees: int, leaf_rows: int, dim: int):
 _PLACED = "_g string, _leaf int, _query boolean, _h long, _u array<float>, _ids array<string>"
 
 
-def _place(trees: int, search_rows: int, dim: int):
+def leaves_to_visit(rows: int, trees: int, leaves: int, search_rows: int, search_share: float) -> int:
+    """Number of leaves whose rows reach the budget of a query in a group of so many rows."""
+    budget = max(search_rows, search_share * rows)
+    return min(trees * leaves, max(trees, int(np.ceil(budget * leaves / rows))))
+
+
+def _place(trees: int, search_rows: int, search_share: float, dim: int):
     """Own leaf of each tree as data, and the leaves that a query visits."""
 
     def place(rows: pa.Table, forests: pa.Table) -> pa.Table:
@@ -103,8 +112,7 @@ def _place(trees: int, search_rows: int, dim: int):
         unit = _units(rows.column("_u"), dim)
         leaves = forests.column("_leaves")[0].as_py()
         planes = np.frombuffer(forests.column("_planes")[0].as_py(), np.float32).reshape(trees, leaves - 1, dim + 1)
-        per_leaf = max(1, rows.column("_n")[0].as_py() // leaves)
-        probes = min(trees * leaves, max(trees, int(np.ceil(search_rows / per_leaf))))
+        probes = leaves_to_visit(rows.column("_n")[0].as_py(), trees, leaves, search_rows, search_share)
         at, leaf, query = [], [], []
         for start in range(0, len(unit), 2048):
             priority = leaf_priorities(unit[start : start + 2048], planes)
@@ -145,8 +153,9 @@ def _rerank(keep: int, dim: int):
             return fields.empty_table()
         n = min(keep + 1, len(data))
         parts = []
-        for start in range(0, len(asks), 1024):
-            rows = asks[start : start + 1024]
+        step = max(16, min(1024, 4_000_000 // len(data)))
+        for start in range(0, len(asks), step):
+            rows = asks[start : start + step]
             cosine = np.round(unit[rows] @ unit[data].T, 10)
             best = np.argpartition(-cosine, n - 1, axis=1)[:, :n] if n < len(data) else np.tile(np.arange(n), (len(rows), 1))
             value = np.take_along_axis(cosine, best, 1)
@@ -170,7 +179,7 @@ def _rerank(keep: int, dim: int):
 
 def nearest(
     rows: DataFrame, *, group: str, id_: str, vector: str, k: int = K, dim: int = DIM, exact_rows: int = EXACT_ROWS, trees: int = TREES,
-    leaf_rows: int = LEAF_ROWS, search_rows: int = SEARCH_ROWS, sample_rows: int = SAMPLE_ROWS, slice_rows: int = SLICE_ROWS,
+    leaf_rows: int = LEAF_ROWS, search_rows: int = SEARCH_ROWS, search_share: float = SEARCH_SHARE, sample_rows: int = SAMPLE_ROWS, slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """(group, id, neighbours array<struct<cosine, id>>): the k most similar other rows of the group, best first, ties by id.
 
@@ -205,7 +214,7 @@ def nearest(
     forests = sample.groupBy("_g").applyInArrow(_forest_of_group(trees, leaf_rows, dim), "_g string, _leaves int, _planes binary")
     forests = forests.join(broadcast_if_small(sizes, 200_000), "_g").withColumn("_slice", F.explode(F.sequence(F.lit(0), slices - 1))).select("_g", "_slice", "_leaves", "_planes")
     sliced = large.withColumn("_slice", F.pmod(F.xxhash64("_h"), slices).cast("int")).select("_g", "_slice", "_h", "_u", "_ids", "_n")
-    placed = sliced.groupBy("_g", "_slice").cogroup(forests.groupBy("_g", "_slice")).applyInArrow(_place(trees, search_rows, dim), _PLACED)
+    placed = sliced.groupBy("_g", "_slice").cogroup(forests.groupBy("_g", "_slice")).applyInArrow(_place(trees, search_rows, search_share, dim), _PLACED)
     hits = small.unionByName(placed).groupBy("_g", "_leaf").applyInArrow(_rerank(k + 1, dim), _HITS)
     best = (
         hits.groupBy("_g", "_h", "_c")

@@ -44,6 +44,19 @@ def test_forest_recall_and_copies(spark):
     assert got["same010"] == ["same000", "same001", "same002"]
 
 
+def test_budget_grows_with_the_group(spark):
+    """Vectors without close neighbours, in a group five times the rows of the budget."""
+    rng = np.random.default_rng(3)
+    unit = rng.standard_normal((6000, 64)).astype(np.float32)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    out = neighbours.nearest(frame(spark, [("g", f"{k:05}", v) for k, v in enumerate(unit)]), group="run", id_="id", vector="v", exact_rows=500, leaf_rows=100, search_rows=1200)
+    got = {int(r.id): {int(n.id) for n in r.neighbours} for r in out.collect()}
+    cosine = unit @ unit.T
+    np.fill_diagonal(cosine, -2)
+    best = np.argpartition(-cosine, 5, axis=1)[:, :5]
+    assert sum(len(got[k] & set(best[k].tolist())) for k in range(6000)) / best.size >= 0.9
+
+
 def test_found_pairs(spark, tmp_path):
     v = [1.0] * 64
     chunks = [("x", "r1", "./a.py", "H1", v), ("y", "r1", "a.py", "h1", v), ("z", "r1", "b.py", "h2", v), ("o", "r2", "b.py", "h2", v), ("n", "r1", "c.py", "h3", None)]
