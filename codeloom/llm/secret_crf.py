@@ -1,8 +1,8 @@
 """Lexer, features and a linear-chain conditional random field that label the characters of literal secrets.
 
 Labels are O, B (first token of a secret) and I (further tokens). The model is trained once in a process, on lines that
-``secret_samples`` writes from templates with a fixed seed. B is open only to tokens of candidate atoms, which lets lines
-without one be passed over unread.
+``secret_samples`` writes from templates with a fixed seed. B is open only to tokens of candidate atoms and of users in
+addresses, which lets lines without one be passed over unlabelled.
 """
 
 from __future__ import annotations
@@ -53,6 +53,8 @@ _ATOM = re.compile(r"[^\s\"'`]+")
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_\-]*")
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _SYMBOL = re.compile(r"[^A-Za-z0-9_]")
+#: A hash is no name, whatever words its letters make.
+_HASH = re.compile(r"(?=[0-9a-f]*\d)[0-9a-f]{8,}")
 
 
 def name_parts(name: str) -> list[str]:
@@ -259,7 +261,7 @@ def lex(line: str, before: str = "", in_string: bool = False, skip_closed: bool
             open_.append(False)
         spans.append((s, e))
         features.append(f)
-        if is_word and not text.isdigit():
+        if is_word and not text.isdigit() and not _HASH.fullmatch(text):
             parts = name_parts(text)
             if len(text) <= 32 and len(parts) <= 6:
                 last_name = parts
@@ -285,36 +287,23 @@ def _own_kind(text: str) -> str:
     return "mix" if len(text) < 14 else "longmix"
 
 
-# Parts of words that name credentials.
-_CRED_WORDS = ("passw", "pass", "pwd", "secret", "token", "key", "cred", "bearer", "auth", "basic ", "login", " -u ", "--user", "psk", "://", " -p")
-_QUOTED = re.compile(r"[\"'`][^\"'`\s]{10,}")
-_LONG = re.compile(r"[\s:=/][A-Za-z0-9_\-.+=]{16,}")
-_DIGIT, _ALPHA = re.compile(r"\d"), re.compile(r"[A-Za-z]")
-_START = re.compile(r"[\"'`](?:" + "|".join(map(re.escape, PREFIXES)) + ")")
-_BEGUN = re.compile(r"[\"'`](?:gh[pousr]|sk_|rk_|xox|AK|eyJ|AIz|glp|npm)[A-Za-z0-9_\-]*[\"'`]\s*\+")
+#: What a literal, a comment, an assignment of a shell or an address needs in a line: without one of these ``lex`` finds no atom and no user.
+_MARKED = re.compile(r"^[^\n]*?(?:[\"'`#]|//|/\*|\*(?=\s)|--(?=\s))|" + _SHELL.pattern.replace(r"\s*(", r"^[^\S\n]*(", 1).replace(r"\s+", r"[^\S\n]+", 1).replace(r"\s*$", r"[^\S\n]*$"), re.M)
+_FENCE = re.compile(r"\"\"\"|\'\'\'|`")
 
 
 def places_to_read(text: str) -> list[int]:
-    """Offsets, one or more in each line that can hold a candidate; the others have no token at which a secret may begin."""
-    low = text.lower()
-    if len(low) != len(text):
-        low = "".join(c.lower() if c.isascii() else c for c in text)
-    found: list[int] = []
-    for word in _CRED_WORDS:
-        at = low.find(word)
-        while at >= 0:
-            found.append(at)
-            at = low.find("\n", at)
-            if at < 0:
-                break
-            at = low.find(word, at)
-    for pattern in (_QUOTED, _LONG):
-        for m in pattern.finditer(text):
-            run = m.group()
-            if _DIGIT.search(run) and _ALPHA.search(run):
-                found.append(m.end() - 1)
-    found += [m.start() for m in _START.finditer(text)]
-    found += [m.start() for m in _BEGUN.finditer(text)]
+    """An offset in each line that can have a token at which a secret may begin, by what ``lex`` needs to open one.
+
+    From the first mark of a string of several lines on that is every line, since such a string makes a literal of lines without marks.
+    """
+    fence = _FENCE.search(text)
+    end = fence.start() if fence else len(text)
+    found = [m.end() - 1 for m in _MARKED.finditer(text, 0, end)]
+    while fence and end >= 0:
+        found.append(end)
+        at = text.find("\n", end)
+        end = at + 1 if at >= 0 else -1
     return found
 
 

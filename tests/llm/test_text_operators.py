@@ -114,6 +114,23 @@ def test_line_without_candidate_is_closed():
     assert not any(lex("logger.info('plain words only', row)").open)
 
 
+SHORT = ['ADMIN_PW = "hunter2x"', 'pin = "84a1c9"', 'salt = "9f8a7c6d5"', 'session = "Qx7-tR9!"', 'dsn = "kV93bq!x"']
+
+
+def test_short_literals_are_read():
+    assert [n for n, _, _ in secrets.secret_spans("\n".join(SHORT), secrets.model())] == [1, 2, 3, 4, 5]
+    assert not secrets.secret_spans('m = {"ae18291b":11273,"7e7db658":15290,"6c6a6f34":26965,"c6b282d2":1}', secrets.model())
+
+
+def test_only_closed_lines_are_passed_over():
+    lines = [t for t, _ in samples(1500, 7)] + SHORT + ["AB_C=x1y2z3", "\texport K=abc-1234 ", "x;--a", "f();// Foo12bar", " * Foo12bar", " -- Foo12bar"]
+    lines += [r"s = 'gh' + 'p_aB3dE5gH7jK9mN1p'", "psql pg://u:Zx81kQpL@h/db"]
+    assert sum(any(lex(t).open) for t in lines) > 500
+    assert [t for t in lines if any(lex(t).open) and not places_to_read(t)] == []
+    text = 'q = """\nplain\nkey Zx81kQpLm20R\n"""\nx = 1\n'
+    assert text.index("key Zx") in places_to_read(text)
+
+
 # generated, minified, third-party, data
 
 FILE = "id string, index_run_id string, repo_id string, file_path string, chunk_type string, name string, language string, content string"
