@@ -34,7 +34,7 @@ _BANNER = _MARK + (
     r"(?:@license\b[^\n]*\d|(?i:@preserve\b)|[\w.@/-]+(?:\.js|\.py)?[ \t]+v?\d+\.\d+(?:\.\d+)?[\w.-]*[ \t]*(?:$|\r|[|(,—-]|(?i:licen[cs]ed|released|copyright|upstream|by))|(?i:[^\n]{0,60}\bupstream (?:copy|source)|[^\n]{0,40}\bvendored (?:copy|from)))"
 )
 _VENDORED = (
-    r"(?i)(?:^|/)(?:node_modules|bower_components|site-packages|jspm_packages)/|(?:^|/)(?:_?vendor(?:ed)?|third[_-]?party|3rdparty|extern(?:al)?s?|contrib/external)/[^/]+/[^/]+$"
+    r"(?i)(?:^|/)(?:node_modules|bower_components|site-packages|jspm_packages)/|(?:^|/)(?:_?vendor(?:ed)?|third[_-]?party|3rdparty|extern(?:al)?s?|contrib/external)/[^/]+/[^/]"
     r"|(?:^|/)[a-z][\w]*-\d+\.\d+(?:\.\d+)?(?:[._-][\w]+)*\.(?:js|py|ts|jsx|tsx)$"
 )
 _MADE_NAME = r"(?i)(?:_pb2(?:_grpc)?\.py|_pb\.[jt]s|\.pb\.[jt]s|\.gen\.[jt]sx?|[._]generated\.\w+|\.g\.[jt]s)$|(?:^|/)(?:__generated__|generated)/"

@@ -160,6 +160,14 @@ def test_kinds_of_files(spark):
     assert written_by_hand.file_kinds(frame.limit(0)).count() == 0
 
 
+def test_third_party_at_any_depth(spark):
+    paths = ["vendor/lodash/dist/core.js", "third_party/pkg/src/util/x.py", "a/external/p/q/r/s.ts", "vendor/lodash/core.js", "vendor/own.py", "src/vendors/own/a.py", "src/vendor_list/b/c.py"]
+    frame = spark.createDataFrame([(str(i), "run", "r", path, "function", "n", "py", f"def f{i}():\n    return {i}\n") for i, path in enumerate(paths)], FILE)
+    kinds = {r.file_path: r.kind for r in written_by_hand.file_kinds(frame).collect()}
+    assert [p for p in paths if kinds[p] == "third_party"] == paths[:4]
+    assert written_by_hand.hand_written(frame).count() == 3
+
+
 # splitting
 
 ITEM = "id string, content string, line_start int, line_end int, piece_no string"
