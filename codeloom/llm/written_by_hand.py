@@ -14,8 +14,8 @@ from codeloom.session import plain_path, table
 
 #: Thresholds; a language without its own entry has those under "".
 THRESHOLDS = {
-    "": {"long_line": 240, "long_share": 0.5, "long_space": 0.10, "long_marks": 0.12, "data_chars": 800, "data_space": 0.03, "numeric_share": 0.6, "numeric_chars": 600, "encoded_share": 0.5, "encoded_chars": 400},
-    "py": {"long_line": 240, "long_share": 0.5, "long_space": 0.10, "long_marks": 0.16, "data_chars": 800, "data_space": 0.03, "numeric_share": 0.6, "numeric_chars": 600, "encoded_share": 0.5, "encoded_chars": 400},
+    "": {"long_line": 240, "long_share": 0.5, "long_space": 0.10, "long_marks": 0.12, "data_chars": 800, "data_space": 0.03, "numeric_share": 0.6, "numeric_chars": 600, "encoded_share": 0.5, "encoded_chars": 400, "wrap_line": 70, "wrap_space": 0.07, "wrap_letters_from": 0.4, "wrap_letters_to": 0.85, "wrap_chars": 400, "wrap_marks": 0.12},
+    "py": {"long_line": 240, "long_share": 0.5, "long_space": 0.10, "long_marks": 0.16, "data_chars": 800, "data_space": 0.03, "numeric_share": 0.6, "numeric_chars": 600, "encoded_share": 0.5, "encoded_chars": 400, "wrap_line": 70, "wrap_space": 0.05, "wrap_letters_from": 0.4, "wrap_letters_to": 0.85, "wrap_chars": 400, "wrap_marks": 0.16},
 }
 #: Texts shorter than this say nothing about copying.
 COPY_CHARS = 200
@@ -65,6 +65,7 @@ def chunk_statistics(chunks: DataFrame) -> DataFrame:
     lengths = F.transform(F.split(text, "\n", -1), lambda line: F.length(line))
     long_text = F.array_join(F.filter(F.split(text, "\n", -1), lambda line: F.length(line) >= F.col("_limit")), "\n")
     digits = chars - F.length(F.translate(text, "0123456789", ""))
+    solid = F.length(F.translate(text, " \t\r\n", ""))
     bare = F.when(text.contains("-----BEGIN "), F.regexp_replace(text, _ARMOUR, "")).otherwise(text)
     notice, banner, code = (F.regexp_instr(text, F.lit(p)) for p in (_NOTICE, _BANNER, _CODE))
     hinted = F.lower(text).rlike(r"generated|do not|produced|changes|manual|compiled|license|licence|upstream|vendored|preserve|\d\.\d")
@@ -80,9 +81,13 @@ def chunk_statistics(chunks: DataFrame) -> DataFrame:
             chars.alias("chars"),
             F.col("_longest").alias("longest"),
             F.length("_long").alias("long_chars"),
+            F.size(lengths).alias("lines"),
+            (chars - solid).alias("space"),
+            _without(text, r"[A-Za-z0-9]+").alias("letters"),
+            _without(text, r"[;{}()\[\]=?:!&|<>.]+").alias("marks"),
             F.when(F.col("_long") != "", _without(F.col("_long"), r"\s")).otherwise(0).alias("long_space"),
             F.when(F.col("_long") != "", _without(F.col("_long"), r"[;{}()\[\]=?:!&|<>.]")).otherwise(0).alias("long_marks"),
-            F.when(digits > chars * 0.15, _without(text, _NUMBER)).otherwise(0).alias("numeric_chars"),
+            F.when(digits > solid * 0.15, _without(text, _NUMBER)).otherwise(0).alias("numeric_chars"),
             F.when(F.col("_longest") >= 60, _without(bare, _ENCODED)).otherwise(0).alias("encoded_chars"),
             F.when(F.col("_hint"), (notice > 0) & ((code == 0) | (notice <= code))).otherwise(False).alias("notice"),
             F.when(F.col("_hint"), (banner > 0) & ((code == 0) | (banner <= code))).otherwise(False).alias("banner"),
@@ -109,14 +114,19 @@ def file_kinds(chunks: DataFrame) -> DataFrame:
     joined = statistics.join(copies, ["fingerprint", "chars"], "left")
     files = joined.groupBy("index_run_id", "file_path").agg(
         F.min("language").alias("language"),
-        *[F.sum(c).alias(c) for c in ("chars", "long_chars", "long_space", "long_marks", "numeric_chars", "encoded_chars")],
+        *[F.sum(c).alias(c) for c in ("chars", "lines", "space", "letters", "marks", "long_chars", "long_space", "long_marks", "numeric_chars", "encoded_chars")],
         F.sum(F.when(F.col("copied"), F.col("chars")).otherwise(0)).alias("copied_chars"),
         F.max("longest").alias("longest"),
         *[F.max(c).alias(c) for c in ("notice", "banner", "mapped", "functions")],
     )
     share = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
     long = share("long_chars", "chars") >= _by_language("long_share")
-    minified = F.col("mapped") | (long & (share("long_space", "long_chars") <= _by_language("long_space")) & (share("long_marks", "long_chars") >= _by_language("long_marks")))
+    letters = share("letters", "chars")
+    wrapped = (
+        (share("chars", "lines") >= _by_language("wrap_line")) & (F.col("chars") >= _by_language("wrap_chars")) & (share("space", "chars") <= _by_language("wrap_space"))
+        & (letters >= _by_language("wrap_letters_from")) & (letters <= _by_language("wrap_letters_to")) & (share("marks", "chars") >= _by_language("wrap_marks"))
+    )
+    minified = F.col("mapped") | wrapped | (long & (share("long_space", "long_chars") <= _by_language("long_space")) & (share("long_marks", "long_chars") >= _by_language("long_marks")))
     data = (
         (long & (F.col("long_chars") >= _by_language("data_chars")) & (share("long_space", "long_chars") <= _by_language("data_space")))
         | ((share("numeric_chars", "chars") >= _by_language("numeric_share")) & (F.col("chars") >= _by_language("numeric_chars")))

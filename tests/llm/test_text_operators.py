@@ -168,6 +168,16 @@ def test_third_party_at_any_depth(spark):
     assert written_by_hand.hand_written(frame).count() == 3
 
 
+def test_wrapped_minified_text_and_tables_of_short_numbers(spark):
+    mini = "".join(f"function {c}(a,b){{return a[{k}]||b.c({k})}};if(!{c}){{d=e({k})}}" for k, c in enumerate("abcdefghijklmnop"))
+    mini = "\n".join(mini[k : k + 120] for k in range(0, len(mini), 120))
+    table = "T = [\n" + "".join(f"        {k % 10},\n" for k in range(100)) + "]\n"
+    hand = "".join(f"    const resultOfStep{k} = await compute(firstArgument{k}, secondArgument{k}, { '{' } retries: {k}, verbose: true { '}' });\n" for k in range(20))
+    rows = [("a.js", "js", mini), ("t.py", "py", table), ("h.js", "js", hand)]
+    frame = spark.createDataFrame([(str(i), "run", "r", path, "module", "n", language, text) for i, (path, language, text) in enumerate(rows)], FILE)
+    assert {r.file_path: r.kind for r in written_by_hand.file_kinds(frame).collect()} == {"a.js": "minified", "t.py": "data", "h.js": None}
+
+
 # splitting
 
 ITEM = "id string, content string, line_start int, line_end int, piece_no string"
