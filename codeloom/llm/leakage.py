@@ -25,10 +25,10 @@ MIN_WORDS = 20
 #: One altered word in so many.
 ALTERED = 10
 #: Latent dimensions and further ones of the random sketch.
-LATENT, OVERSAMPLE = 48, 16
+LATENT, OVERSAMPLE = 56, 16
 #: Words of a window; steps of the windows of documents and of items.
 WINDOW, STRIDE, ITEM_STRIDE = 20, 4, 4
-MIN_COSINE = 0.55
+MIN_COSINE = 0.5
 #: Items above this number are no held-out set of fixed size; they are searched in blocks of so many.
 ITEM_BLOCK = 5000
 #: A run of intact words that every passage within the bounds has: 18 of 20 words in at most three runs.
