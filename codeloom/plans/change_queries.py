@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from codeloom.operators.snapshot_diff import chunk_changes
+from pyspark.sql import functions as F
+
+from codeloom.operators.snapshot_diff import chunk_changes, chunk_ordinals
 from codeloom.session import table
 
 
@@ -10,32 +12,30 @@ def p1_found(spark, sf_dir):
     return chunk_changes(table(spark, sf_dir, "code_chunks"), table(spark, sf_dir, "index_runs"))
 
 
-QUERIES = {"p1_found": p1_found}
+def p1_keys(spark, sf_dir):
+    """Keys of each branch's dictionary of ordinals, over all its snapshots."""
+    known = chunk_ordinals(table(spark, sf_dir, "code_chunks"), table(spark, sf_dir, "index_runs"))
+    return known.groupBy("repo_id", "branch").agg(F.count(F.lit(1)).alias("keys"), F.count_distinct("blocks", (F.xxhash64("file_path", "parent_class", "name", "chunk_type") % F.col("blocks")), "ordinal").alias("ordinals"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_keys": p1_keys}
+
+_PLAIN = r"regexp_replace(replace(file_path, chr(92), '/'), '^(\./)+', '')"
+_STEPS = "SELECT id, repo_id, branch, lead(id) OVER (PARTITION BY repo_id, branch ORDER BY started_at, id) AS next_id FROM index_runs WHERE status = 'completed' OR status = 'superseded'"
 
 ORACLE = {
-    "p1_found": r"""
-WITH r AS (
-  SELECT id, repo_id, branch, row_number() OVER w AS seq, lag(id) OVER w AS prev_id
-  FROM index_runs WHERE status IN ('completed', 'superseded')
-  WINDOW w AS (PARTITION BY repo_id, branch ORDER BY started_at, id)
-), s AS (
-  SELECT r.repo_id, r.branch, r.seq, r.id AS run_id,
-         regexp_replace(replace(c.file_path, '\', '/'), '^(\./)+', '') AS file_path,
-         c.parent_class, c.name, c.chunk_type, string_agg(DISTINCT lower(c.content_hash), ',' ORDER BY lower(c.content_hash)) AS h
-  FROM r JOIN code_chunks c ON c.index_run_id = r.id
-  GROUP BY ALL
-), present AS (
-  SELECT s.repo_id, r.prev_id AS prev_run_id, s.run_id, s.file_path, s.parent_class, s.name, s.chunk_type,
-         CASE WHEN o.h IS NULL THEN 'added' WHEN o.h <> s.h THEN 'changed' END AS change
-  FROM s JOIN r ON r.id = s.run_id
-  LEFT JOIN s o ON o.repo_id = s.repo_id AND o.branch = s.branch AND o.seq = s.seq - 1 AND o.file_path = s.file_path
-       AND o.parent_class = s.parent_class AND o.name = s.name AND o.chunk_type = s.chunk_type
-), gone AS (
-  SELECT o.repo_id, o.run_id AS prev_run_id, r.id AS run_id, o.file_path, o.parent_class, o.name, o.chunk_type, 'removed' AS change
-  FROM s o JOIN r ON r.repo_id = o.repo_id AND r.branch = o.branch AND r.seq = o.seq + 1
-  WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.repo_id = o.repo_id AND s.branch = o.branch AND s.seq = o.seq + 1 AND s.file_path = o.file_path
-       AND s.parent_class = o.parent_class AND s.name = o.name AND s.chunk_type = o.chunk_type)
+    # Both sides of every step in full: the older snapshot's keys under the step, then the newer one's.
+    "p1_found": f"""
+WITH step AS (SELECT repo_id, id AS a, next_id AS b FROM ({_STEPS}) WHERE next_id IS NOT NULL),
+side AS (
+  SELECT step.repo_id, a, b, {_PLAIN} AS file_path, parent_class, name, chunk_type,
+         list_sort(list_distinct(list(lower(content_hash)) FILTER (index_run_id = a))) AS was, list_sort(list_distinct(list(lower(content_hash)) FILTER (index_run_id = b))) AS now
+  FROM step JOIN code_chunks c ON c.index_run_id IN (a, b) GROUP BY ALL
 )
-SELECT * FROM present WHERE change IS NOT NULL UNION ALL SELECT * FROM gone
-"""
+SELECT repo_id, a AS prev_run_id, b AS run_id, file_path, parent_class, name, chunk_type,
+       CASE WHEN was IS NULL THEN 'added' WHEN now IS NULL THEN 'removed' ELSE 'changed' END AS change
+FROM side WHERE was IS DISTINCT FROM now
+""",
+    "p1_keys": f"""SELECT repo_id, branch, count(*) AS keys, count(*) AS ordinals FROM (
+  SELECT DISTINCT r.repo_id, r.branch, {_PLAIN}, parent_class, name, chunk_type FROM ({_STEPS}) r JOIN code_chunks c ON c.index_run_id = r.id) GROUP BY 1, 2""",
 }

@@ -33,7 +33,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast hint behind a row count of the side itself; above the bound the plan stays a shuffle join."""
-    return F.broadcast(df) if len(df.limit(max_rows + 1).select(F.lit(1)).collect()) <= max_rows else df
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
 def plain_path(path: Column) -> Column:
