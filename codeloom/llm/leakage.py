@@ -2,11 +2,12 @@
 
 Latent semantic retrieval: passages of all documents and items are rows of a TF-IDF matrix over the items' vocabulary; a
 randomised singular value decomposition of it, distributed over the documents, gives each word a latent vector. A passage is the sum of its
-words' vectors, so that windows at every place of a document come from running sums. Windows whose cosine with a window of
-an item is high are candidates; an alignment of the words then decides (a longest common subsequence with a bounded number of
-altered words, grown from intact runs).
+words' vectors, so that windows at every place of a document come from running sums. The windows of a document whose cosine with a window of
+an item is high are the candidates, and there are no others. Of each candidate the longest common subsequence of words is taken,
+and an alignment with a bounded share of altered words decides whether the passage is held; where it is not, a long common
+subsequence along with the words that answer the item tells a paraphrase.
 
-The items are held-out material of fixed size: their number is checked before they go to every task.
+The items are held-out material of fixed size: they are taken in blocks of bounded size, which go to every task.
 """
 
 from __future__ import annotations
@@ -25,57 +26,53 @@ MIN_WORDS = 20
 #: One altered word in so many.
 ALTERED = 10
 #: Latent dimensions and further ones of the random sketch.
-LATENT, OVERSAMPLE = 56, 16
+LATENT, OVERSAMPLE = 128, 16
 #: Words of a window; steps of the windows of documents and of items.
-WINDOW, STRIDE, ITEM_STRIDE = 20, 4, 4
+WINDOW, STRIDE, ITEM_STRIDE = 20, 5, 5
+#: Candidates: 0.25 below the least that planted passages with two words altered have (README).
 MIN_COSINE = 0.5
-#: Items above this number are no held-out set of fixed size; they are searched in blocks of so many.
-ITEM_BLOCK = 5000
-#: A run of intact words that every passage within the bounds has: 18 of 20 words in at most three runs.
+#: Least common subsequence of a window with the item around: a passage within the bounds has a window at most two words from its
+#: beginning, so 18 words in common less two altered ones, or less one word more where an insertion shifts the rest.
+MIN_COMMON = 15
+#: A paraphrase has so long a common subsequence with a window and this share of the item's answer words.
+PARAPHRASE_COMMON, PARAPHRASE_ANSWER = 11, 0.6
+#: Items that one search holds; more are searched in blocks of so many.
+ITEM_BLOCK = 2000
+#: Words of the item beside a window that may stand opposite it.
+_BESIDE = 6
+#: A run of intact words that every passage within the bounds has: 18 of 20 words in at most three runs, and longer ones for longer passages.
 _RUN = 6
 _SEED = 11
-_MARGIN = 48
+#: Empty places between texts that lie in a row.
+_MARGIN = 40
 #: Words in memory at a time, and words of a document searched at a time.
 _PIECE = 40_000
 _SEGMENT = 20_000
+#: Windows whose cosines are in memory at a time.
+_ROWS = 256
 
 
 class Items:
-    """Encoded items: vocabulary, words as numbers, and where each run of words occurs."""
+    """Encoded items: vocabulary, words as numbers, answer words, and all items in a row with places between them."""
 
     def __init__(self, rows: list[tuple[int, str | None]]):
         texts = [(i, words(t)) for i, t in rows]
         self.vocabulary = {w: k for k, w in enumerate(sorted({w for _, ws in texts for w in ws}))}
         self.ids = [i for i, _ in texts]
         self.codes = [np.array([self.vocabulary[w] for w in ws], np.int32) for _, ws in texts]
-        keys = [run_keys(code) for code in self.codes]
-        key = np.concatenate([np.empty(0, np.int64), *keys])
-        order = np.argsort(key, kind="stable")
-        self.run_item = np.repeat(np.arange(len(keys)), [len(k) for k in keys])[order]
-        self.run_at = np.concatenate([np.empty(0, np.int64), *[np.arange(len(k)) for k in keys]])[order]
-        self.keys, first = np.unique(key[order], return_index=True)
-        self.run_first = np.append(first, len(order))
-        # All items in a row, far enough apart that no place of one reaches into another.
-        lengths = np.array([len(c) for c in self.codes], np.int64)
-        self.begins = _MARGIN + np.concatenate([[0], np.cumsum(lengths + _MARGIN)])[:-1] if len(lengths) else lengths
-        self.flat = np.full(int(lengths.sum()) + _MARGIN * (len(lengths) + 2), -2, np.int32)
-        for begin, code in zip(self.begins, self.codes):
-            self.flat[begin : begin + len(code)] = code
-
-
-def run_keys(code: np.ndarray) -> np.ndarray:
-    """A number for each run of ``_RUN`` words; runs with a word outside the vocabulary have a negative one."""
-    n = len(code) - _RUN + 1
-    if n <= 0:
-        return np.empty(0, np.int64)
-    key = np.zeros(n, np.uint64)
-    foreign = np.zeros(n, bool)
-    for k in range(_RUN):
-        part = code[k : k + n]
-        key = key * np.uint64(1_000_003) + (part.astype(np.int64) + 7).astype(np.uint64)
-        foreign |= part < 0
-    key = (key ^ (key >> np.uint64(29))) & np.uint64(0x7FFFFFFFFFFFFFFF)
-    return np.where(foreign, np.int64(-1), key.astype(np.int64))
+        # What the item asks about or tells: its numbers and identifiers.
+        self.answers = [np.unique([self.vocabulary[w] for w in ws if any(c.isdigit() or c == "_" for c in w)]).astype(np.int32) for _, ws in texts]
+        self.begins, self.flat = _in_a_row(self.codes, -2)
+
+
+def _in_a_row(codes: list[np.ndarray], blank: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each text begins in one array with ``_MARGIN`` blanks around each."""
+    lengths = np.array([len(c) for c in codes], np.int64)
+    begins = _MARGIN + np.concatenate([[0], np.cumsum(lengths + _MARGIN)])[:-1] if len(lengths) else lengths
+    flat = np.full(int(lengths.sum()) + _MARGIN * (len(lengths) + 1), blank, np.int32)
+    for begin, code in zip(begins, codes):
+        flat[begin : begin + len(code)] = code
+    return begins, flat
 
 
 def _encoder(vocabulary: dict[str, int]):
@@ -91,7 +88,10 @@ def _encoder(vocabulary: dict[str, int]):
 
 def _blocks(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, int]:
     """Words of the vocabulary and the passage each is in: documents are cut into passages of ``WINDOW`` words."""
-    column = batch.column("codes")
+    return _passages(batch.column("codes"))
+
+
+def _passages(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, int]:
     offsets = np.asarray(column.offsets)
     code = np.asarray(column.values)[offsets[0] : offsets[-1]]
     lengths = np.diff(offsets)
@@ -103,8 +103,8 @@ def _blocks(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, int]:
     return code[known], passage[known], int(first[-1])
 
 
-def _summed(frame: DataFrame, size: int, fold: int = 32) -> np.ndarray:
-    """Sum of the arrays in the column ``part`` (bytes of float64): combined in the executors until a few are left."""
+def _summed(frame: DataFrame, size: int, fold: int = 8, most: int = 4) -> np.ndarray:
+    """Sum of the arrays in the column ``part`` (bytes of float64): combined in the executors until at most ``most`` are left."""
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -116,7 +116,7 @@ def _summed(frame: DataFrame, size: int, fold: int = 32) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
 
     parts = frame.rdd.getNumPartitions()
-    while parts > fold:
+    while parts > most:
         parts = (parts + fold - 1) // fold
         frame = frame.repartition(parts).mapInArrow(combine, "part binary")
     rows = frame.collect()
@@ -146,15 +146,15 @@ def _weighted(batch: pa.RecordBatch, idf: np.ndarray):
         low, high = starts[at], starts[to] if to < len(starts) else len(code)
         part = code[low:high]
         local = np.repeat(np.arange(to - at), np.diff(np.append(starts[at:to], high)))
-        weight = idf[part]
+        weight = idf[part].astype(np.float32)
         scale = 1 / np.sqrt(np.maximum(np.bincount(local, weight * weight, to - at), 1e-12))
-        yield part, local, to - at, weight * scale[local]
+        yield part, local, to - at, weight * scale[local].astype(np.float32)
         at = to
 
 
 def _projected(code, passage, n, weight, basis: np.ndarray) -> np.ndarray:
     """Passages times basis."""
-    out = np.zeros((n, basis.shape[1]))
+    out = np.zeros((n, basis.shape[1]), np.float32)
     if len(code):
         starts = np.flatnonzero(np.r_[True, np.diff(passage) != 0])
         out[passage[starts]] = np.add.reduceat(basis[code] * weight[:, None], starts, axis=0)
@@ -162,51 +162,73 @@ def _projected(code, passage, n, weight, basis: np.ndarray) -> np.ndarray:
 
 
 def fit(encoded: DataFrame, items: Items, latent: int = LATENT, oversample: int = OVERSAMPLE) -> np.ndarray:
-    """Latent vectors of the items' words, idf included: two passes of a randomised SVD after one of counting, over all documents."""
+    """Latent vectors of the items' words, idf included: two passes of a randomised SVD after one of counting, over all documents and items."""
+    own = pa.RecordBatch.from_arrays([pa.array(items.ids, pa.int64()), pa.array(items.codes, pa.list_(pa.int32()))], names=["doc_id", "codes"])
+
+    def total(function, length: int) -> np.ndarray:
+        part = np.zeros(length)
+        function(own, part)
+        return part + _summed(encoded.mapInArrow(_partial(function, length), "part binary"), length)
+
     size = len(items.vocabulary)
     width = min(latent + oversample, max(1, size))
 
-    def count(batch, total):
+    def count(batch, into):
         code, passage, n = _blocks(batch)
         pairs = np.unique(passage.astype(np.int64) * size + code)
-        total[:size] += np.bincount(pairs % size, minlength=size)
-        total[size] += n
+        into[:size] += np.bincount(pairs % size, minlength=size)
+        into[size] += n
 
-    counts = _summed(encoded.mapInArrow(_partial(count, size + 1), "part binary"), size + 1)
+    counts = total(count, size + 1)
     idf = np.log((counts[size] + 1) / (counts[:size] + 1)) + 1
-    sketch = np.random.default_rng(_SEED).standard_normal((size, width))
+    sketch = np.random.default_rng(_SEED).standard_normal((size, width)).astype(np.float32)
 
-    def forward(batch, total):
+    def forward(batch, into):
         for code, passage, n, weight in _weighted(batch, idf):
             y = _projected(code, passage, n, weight, sketch)
             order = np.argsort(code, kind="stable")
             starts = np.flatnonzero(np.r_[True, np.diff(code[order]) != 0])
             sums = np.add.reduceat(y[passage[order]] * weight[order][:, None], starts, axis=0)
-            total.reshape(size, width)[code[order][starts]] += sums
+            into.reshape(size, width)[code[order][starts]] += sums
 
-    basis, _ = np.linalg.qr(_summed(encoded.mapInArrow(_partial(forward, size * width), "part binary"), size * width).reshape(size, width))
+    basis = np.linalg.qr(total(forward, size * width).reshape(size, width))[0].astype(np.float32)
 
-    def gram(batch, total):
+    def gram(batch, into):
         for piece in _weighted(batch, idf):
             y = _projected(*piece, basis)
-            total += (y.T @ y).ravel()
+            into += (y.T @ y).ravel()
 
     square = basis.shape[1] ** 2
-    values, vectors = np.linalg.eigh(_summed(encoded.mapInArrow(_partial(gram, square), "part binary"), square).reshape(basis.shape[1], -1))
+    values, vectors = np.linalg.eigh(total(gram, square).reshape(basis.shape[1], -1))
     top = np.argsort(-values)[:latent]
     return ((basis @ vectors[:, top]) * idf[:, None]).astype(np.float32)
 
 
-def windows(code: np.ndarray, latent: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and unit latent vectors of the windows of a text; the last window ends with the text."""
-    n = len(code)
-    last = max(0, n - WINDOW)
-    starts = np.unique(np.append(np.arange(0, last + 1, stride), last))
-    vectors = np.where((code >= 0)[:, None], latent[np.maximum(code, 0)], 0)
+def window_starts(begins: np.ndarray, lengths: np.ndarray, stride: int) -> np.ndarray:
+    """Starts of the windows of texts that lie in a row; the last window of a text ends with it, a short text is one window."""
+    last = np.maximum(0, lengths - WINDOW)
+    per = -(-last // stride) + 1
+    steps = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+    return np.repeat(begins, per) + np.minimum(steps * stride, np.repeat(last, per))
+
+
+def window_vectors(flat: np.ndarray, starts: np.ndarray, latent: np.ndarray) -> np.ndarray:
+    """Unit latent vectors of windows, from running sums over the row of texts; blanks and words outside the vocabulary add nothing."""
+    vectors = np.where((flat >= 0)[:, None], latent[np.maximum(flat, 0)], 0)
     sums = np.vstack([np.zeros((1, latent.shape[1]), np.float64), np.cumsum(vectors, axis=0, dtype=np.float64)])
-    found = sums[np.minimum(starts + WINDOW, n)] - sums[starts]
+    found = sums[starts + WINDOW] - sums[starts]
     norm = np.linalg.norm(found, axis=1, keepdims=True)
-    return starts, np.divide(found, norm, out=np.zeros_like(found), where=norm > 1e-9).astype(np.float32)
+    return np.divide(found, norm, out=np.zeros_like(found), where=norm > 1e-9).astype(np.float32)
+
+
+def common_words(texts: np.ndarray, patterns: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of each row of ``texts`` with the same row of ``patterns`` (32 words), bit-parallel."""
+    row = np.full(len(patterns), 0xFFFFFFFF, np.uint32)
+    for k in range(texts.shape[1]):
+        match = np.packbits(patterns == texts[:, k : k + 1], axis=1, bitorder="little").view(np.uint32).ravel()
+        met = row & match
+        row = (row + met) | (row - met)
+    return np.bitwise_count(~row).astype(np.int64)
 
 
 def _same(a: list[int], i: int, b: list[int], j: int, step: int) -> int:
@@ -216,143 +238,183 @@ def _same(a: list[int], i: int, b: list[int], j: int, step: int) -> int:
     return n
 
 
-def _reach(a: list[int], i: int, b: list[int], j: int, step: int, errors: int) -> list[int]:
-    """Most words of ``b`` from j on that align with ``a`` from i on, for 0, 1, ... altered words, the last one intact."""
+def _reach(a: list[int], i: int, b: list[int], j: int, step: int, spare: int) -> list[int]:
+    """Most words of ``b`` from j on that align with ``a`` from i on, the last one intact, for 0, 1, ... altered words (-1 for none).
+
+    On each diagonal only the furthest place counts. It ends where ten times the altered words exceed the words reached by more than
+    ``spare``, the most that the other side can add.
+    """
     n = _same(a, i, b, j, step)
-    best = [n] + [-1] * errors
-    if errors:
-        i, j = i + n * step, j + n * step
-        for di, dj in ((1, 1), (0, 1), (1, 0)):
-            if not (0 <= j < len(b) or dj == 0) or not (0 <= i < len(a) or di == 0):
-                continue
-            further = _reach(a, i + di * step, b, j + dj * step, step, errors - 1)
-            if further[0] == 0 and max(further) <= 0:
-                continue
-            for e, m in enumerate(further):
-                if m > 0:
-                    best[e + 1] = max(best[e + 1], n + dj + m)
+    best, front = [n], {0: n}  # diagonal (words of a less words of b) -> words of b
+    left = len(b) - j if step > 0 else j + 1
+    while front:
+        errors = len(best)
+        top = -1
+        following: dict[int, int] = {}
+        for diagonal, m in front.items():
+            for d, reached in ((diagonal, m + 1), (diagonal + 1, m), (diagonal - 1, m + 1)):
+                if reached > left or not 0 <= i + (reached + d) * step <= len(a):
+                    continue
+                run = _same(a, i + (reached + d) * step, b, j + reached * step, step)
+                if run:
+                    top = max(top, reached + run)
+                if reached + run > following.get(d, -1):
+                    following[d] = reached + run
+        best.append(top)
+        furthest = max(following.values(), default=0)
+        front = following if ALTERED * errors <= min(furthest + spare, left + spare) else {}
     return best
 
 
 def holds(doc: list[int], p: int, item: list[int], q: int, min_words: int = MIN_WORDS, altered: int = ALTERED) -> bool:
-    """Whether a passage with ``min_words`` words of the item or more aligns around doc[p] = item[q], at most one in ``altered`` altered."""
-    errors = max(1, min_words // altered)
-    right = _reach(doc, p, item, q, 1, errors)
-    left = _reach(doc, p - 1, item, q - 1, -1, errors)
-    return any(r >= 0 and m >= 0 and e + f <= (r + m) // altered and r + m >= min_words for e, r in enumerate(right) for f, m in enumerate(left))
-
-
-_FOUND = "doc_id long, item_id long, cosine float"
-
-
-def _searcher(items: Items, latent: np.ndarray, min_cosine: float):
-    vectors, owners = [], []
-    for n, code in enumerate(items.codes):
-        if len(code) >= MIN_WORDS - MIN_WORDS // ALTERED:
-            _, v = windows(code, latent, ITEM_STRIDE)
-            vectors.append(v)
-            owners.append(np.full(len(v), n))
-    targets = np.vstack(vectors) if vectors else np.zeros((0, latent.shape[1]), np.float32)
-    owner = np.concatenate(owners) if owners else np.zeros(0, int)
-    firsts = np.flatnonzero(np.r_[True, np.diff(owner) != 0]) if len(owner) else np.zeros(0, int)
-    names = owner[firsts] if len(owner) else owner
-    place = np.full(len(items.codes), -1)
-    place[names] = np.arange(len(names))
+    """Whether a passage with ``min_words`` words of the item or more aligns around doc[p] = item[q], at most one in ``altered`` altered.
+
+    Words are altered where one is replaced, left out or put in; the first and the last word are intact.
+    """
+    right = _reach(doc, p, item, q, 1, q)
+    left = _reach(doc, p - 1, item, q - 1, -1, max(right))
+    return any(r > 0 and m >= 0 and r + m >= min_words and (e + f) * altered <= r + m for e, r in enumerate(right) for f, m in enumerate(left))
+
+
+def _anchors(doc: list[int], low: int, high: int, places: dict[int, list[int]], item: list[int]) -> Iterator[tuple[int, int]]:
+    """First words of intact runs of at least ``_RUN`` words between doc[low:high] and the item."""
+    for p in range(low, high):
+        for q in places.get(doc[p], ()):
+            if (p == low or q == 0 or doc[p - 1] != item[q - 1]) and doc[p : p + _RUN] == item[q : q + _RUN] and q + _RUN <= len(item):
+                yield p, q
+
+
+_FOUND = "doc_id long, item_id long, kind string, cosine float, common int, answer float"
+
+
+def _searcher(items: Items, latent: np.ndarray, min_cosine: float, paraphrases: bool = False):
+    least = PARAPHRASE_COMMON if paraphrases else MIN_COMMON
+    kind = np.int16 if len(items.vocabulary) < 32_000 else np.int32  # narrow numbers compare faster
+    lengths = np.array([len(c) for c in items.codes], np.int64)
+    long = np.flatnonzero(lengths >= MIN_WORDS)
+    targets = window_starts(items.begins[long], lengths[long], ITEM_STRIDE)
+    owner = np.searchsorted(items.begins, targets, "right") - 1
+    target_vectors = window_vectors(items.flat, targets, latent).T.copy()
+    around = np.arange(-_BESIDE, WINDOW + _BESIDE)
+    narrow_items = items.flat.astype(kind)
     lists = [c.tolist() for c in items.codes]
-    keys, ids = items.keys, items.ids
-    around = np.arange(_RUN - MIN_WORDS, MIN_WORDS + 1)
-    shifts = range(-(MIN_WORDS // ALTERED), MIN_WORDS // ALTERED + 1)
-    fields = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("cosine", pa.float32())])
-
-    def runs_at(code: np.ndarray, key: np.ndarray, places: np.ndarray, low: int):
-        """(place in the text, item, place in the item) of intact runs, the first of each row of them."""
-        key = key[places]
-        count = items.run_first[key + 1] - items.run_first[key]
-        p = np.repeat(places, count)
-        entry = np.repeat(items.run_first[key], count) + np.arange(len(p)) - np.repeat(np.cumsum(count) - count, count)
-        n, q = items.run_item[entry], items.run_at[entry]
-        further = (p > low) & (q > 0) & (code[np.maximum(p - 1, 0)] == items.flat[items.begins[n] + q - 1])
-        kept = ~further & (place[n] >= 0)
-        return p[kept], n[kept], q[kept]
-
-    def may_hold(padded: np.ndarray, p: np.ndarray, n: np.ndarray, q: np.ndarray) -> np.ndarray:
-        """Whether enough of the item's words around a run stand where they could in the text: a bound from above on intact words."""
-        wanted = items.flat[(items.begins[n] + q)[:, None] + around]
-        met = np.zeros(wanted.shape, bool)
-        for shift in shifts:
-            met |= padded[(p + _MARGIN + shift)[:, None] + around] == wanted
-        sums = np.cumsum(np.pad(met & (wanted >= 0), ((0, 0), (1, 0))), axis=1)
-        return (sums[:, MIN_WORDS:] - sums[:, :-MIN_WORDS]).max(1) >= MIN_WORDS - MIN_WORDS // ALTERED
-
-    def segment(code: np.ndarray, best: dict[int, float]) -> None:
-        """Adds the items that the words hold, by candidate windows, with the windows' cosine."""
-        starts, v = windows(code, latent, STRIDE)
-        run = run_keys(code)
-        at = np.minimum(np.searchsorted(keys, run), max(0, len(keys) - 1))
-        intact = (keys[at] == run) & (run >= 0) if len(keys) else np.zeros(len(run), bool)
-        padded = np.pad(code, _MARGIN, constant_values=-3)
-        text = None
-        for block in range(0, len(starts), 256):
-            begin = starts[block : block + 256]
-            low = int(begin[0])
-            places = np.flatnonzero(intact[low : begin[-1] + WINDOW]) + low
-            if not len(places):
+    places: list[dict[int, list[int]]] = []
+    for code in lists:
+        where: dict[int, list[int]] = {}
+        for q, w in enumerate(code):
+            where.setdefault(w, []).append(q)
+        places.append(where)
+    fields = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("kind", pa.string()), ("cosine", pa.float32()), ("common", pa.int32()), ("answer", pa.float32())])
+
+    def candidates(flat: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(starts, windows of items, cosine) wherever the cosine is high enough."""
+        vectors = window_vectors(flat, starts, latent)
+        for at in range(0, len(starts), _ROWS):
+            close = vectors[at : at + _ROWS] @ target_vectors
+            rows = np.flatnonzero(close.max(1) >= min_cosine)
+            if len(rows):
+                w, t = np.nonzero(close[rows] >= min_cosine)
+                yield starts[at + rows[w]], t, close[rows[w], t]
+
+    def segment(codes: list[np.ndarray], names: list[int], out: dict[tuple[int, int], tuple]) -> None:
+        """Adds what the texts hold, as (kind, cosine, common, answer) by (text, item); a passage is more than a paraphrase."""
+        begins, flat = _in_a_row(codes, -3)
+        narrow = flat.astype(kind)
+        sizes = np.array([len(c) for c in codes], np.int64)
+        kept: list[tuple[np.ndarray, ...]] = []
+        for start, t, cosine in candidates(flat, window_starts(begins, sizes, STRIDE)):
+            for low in range(0, len(start), 100_000):
+                part = slice(low, low + 100_000)
+                common = common_words(narrow[start[part, None] + np.arange(WINDOW)], narrow_items[targets[t[part], None] + around])
+                good = common >= least
+                kept.append((start[part][good], owner[t[part][good]], cosine[part][good], common[good]))
+        if not sum(len(k[0]) for k in kept):
+            return
+        start, item, cosine, common = (np.concatenate(x) for x in zip(*kept))
+        text = np.searchsorted(begins, start, "right") - 1
+        order = np.lexsort((-cosine, -common, item, text))
+        start, item, cosine, common, text = start[order], item[order], cosine[order], common[order], text[order]
+        first = np.flatnonzero(np.r_[True, (np.diff(text) != 0) | (np.diff(item) != 0)])
+        held: dict[int, list[int]] = {}
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(start)]):
+            d, n = int(text[a]), int(item[a])
+            pair, best = (names[d], n), (float(cosine[a:b].max()), int(common[a]))
+            if pair in out and out[pair][0] == "passage":
                 continue
-            close = np.maximum.reduceat(v[block : block + 256] @ targets.T, firsts, axis=1)
-            hot = np.cumsum(np.pad(close >= min_cosine, ((1, 0), (0, 0))), axis=0)
-            p, n, q = runs_at(code, at, places, low)
-            # Windows that begin at most a window before the run are the candidates around it.
-            first, last = np.searchsorted(begin, p - WINDOW, "right"), np.searchsorted(begin, p + _RUN, "right")
-            near = hot[last, place[n]] > hot[first, place[n]]
-            p, n, q, first, last = p[near], n[near], q[near], first[near], last[near]
-            likely = may_hold(padded, p, n, q)
-            if not likely.any():
+            if d not in held:
+                held = {d: codes[d].tolist()}
+            passage = False
+            for k in range(a, b):
+                if common[k] < MIN_COMMON or passage:
+                    break
+                p = int(start[k] - begins[d])
+                passage = any(holds(held[d], i, lists[n], j) for i, j in _anchors(held[d], max(0, p - _BESIDE), min(p + WINDOW, len(held[d])), places[n], lists[n]))
+            if not passage and not paraphrases:
                 continue
-            text = code.tolist() if text is None else text
-            for p_, n_, q_, a, b in zip(*(x[likely].tolist() for x in (p, n, q, first, last))):
-                if n_ not in best and holds(text, p_, lists[n_], q_):
-                    best[n_] = float(close[a:b, place[n_]].max())
+            answer = items.answers[n]
+            share = float(np.isin(answer, codes[d]).mean()) if len(answer) else 0.0
+            if passage or share >= PARAPHRASE_ANSWER:
+                before = out.get(pair, ("", -1.0, 0, 0.0))
+                out[pair] = ("passage" if passage else "paraphrase", max(best[0], before[1]), max(best[1], before[2]), max(share, before[3]))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[int, int, float]] = []
+            out: dict[tuple[int, int], tuple] = {}
             column = batch.column("codes")
             offsets = np.asarray(column.offsets)
             values = np.asarray(column.values)
-            for row, doc_id in enumerate(batch.column("doc_id").to_pylist()):
+            codes: list[np.ndarray] = []
+            names: list[int] = []
+            held = 0
+            for row in range(batch.num_rows if len(targets) else 0):
                 whole = values[offsets[row] : offsets[row + 1]]
-                if len(whole) < MIN_WORDS - MIN_WORDS // ALTERED or not len(targets):
+                if len(whole) < MIN_WORDS - MIN_WORDS // ALTERED:
                     continue
-                best: dict[int, float] = {}
-                for low in range(0, max(1, len(whole) - 2 * WINDOW), _SEGMENT):
-                    segment(whole[low : low + _SEGMENT + 4 * WINDOW], best)
-                out += [(doc_id, ids[n], cosine) for n, cosine in best.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], fields.field(k).type) for k in range(3)], schema=fields)
+                for low in range(0, max(1, len(whole) - 2 * WINDOW), _SEGMENT):  # pieces of a long text overlap by more than an item's passage needs
+                    codes.append(whole[low : low + _SEGMENT + 4 * WINDOW])
+                    names.append(row)
+                    held += len(codes[-1])
+                    if held >= _SEGMENT:
+                        segment(codes, names, out)
+                        codes, names, held = [], [], 0
+            if codes:
+                segment(codes, names, out)
+            ids = batch.column("doc_id").to_pylist()
+            rows = [(ids[r], items.ids[n], *found) for (r, n), found in out.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in rows], fields.field(k).type) for k in range(len(fields))], schema=fields)
 
     return search
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, *, min_cosine: float = MIN_COSINE) -> DataFrame:
-    """(doc_id, item_id, cosine): documents that hold at least 20 consecutive words of an item, one in ten altered at most.
+def find_leaks(documents: DataFrame, items: DataFrame, *, min_cosine: float = MIN_COSINE, paraphrases: bool = False, item_block: int = ITEM_BLOCK) -> DataFrame:
+    """(doc_id, item_id, kind, cosine, common, answer): documents that hold at least 20 consecutive words of an item, one in ten altered at most.
 
-    Rows with null ids are left out; null, empty and short texts hold nothing; repeated rows and repeated items each give their
+    ``kind`` is passage, or paraphrase if those are asked for: a window with a long common subsequence in a document that has most of
+    the item's answer words. Rows with null ids are left out; null, empty and short texts hold nothing; repeated rows and repeated items each give their
     pairs, a pair once. Whole texts are searched, by as many blocks of items as there are.
     """
     documents = documents.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    rows = sorted((r[0], r[1]) for r in items.where(F.col("item_id").isNotNull()).select("item_id", "text").limit(ITEM_BLOCK + 1).collect())
-    if len(rows) > ITEM_BLOCK:
-        blocks = -(-items.count() // ITEM_BLOCK)
-        parts = [find_leaks(documents, items.where(F.pmod(F.xxhash64("item_id"), F.lit(2 * blocks)) == b), min_cosine=min_cosine) for b in range(2 * blocks)]
-        found = parts[0]
-        for part in parts[1:]:
-            found = found.unionByName(part)
-        return found
-    held = Items([(i, t or "") for i, t in rows])
-    if not held.vocabulary:
-        return documents.limit(0).select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).cast("float").alias("cosine"))
-    encoded = cut(spread(documents).mapInArrow(_encoder(held.vocabulary), "doc_id long, codes array<int>"))
-    latent = fit(encoded, held)
-    return encoded.mapInArrow(_searcher(held, latent, min_cosine), _FOUND).dropDuplicates(["doc_id", "item_id"])
+    found: DataFrame | None = None
+    block: list[tuple[int, str]] = []
+
+    def searched(rows: list[tuple[int, str]]) -> DataFrame | None:
+        held = Items(rows)
+        if not held.vocabulary:
+            return None
+        encoded = cut(spread(documents).mapInArrow(_encoder(held.vocabulary), "doc_id long, codes array<int>"))
+        return encoded.mapInArrow(_searcher(held, fit(encoded, held), min_cosine, paraphrases), _FOUND)
+
+    for row in items.where(F.col("item_id").isNotNull()).select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
+        block.append((row[0], row[1] or ""))
+        if len(block) == item_block:
+            part = searched(block)
+            found, block = part if found is None else found if part is None else found.unionByName(part), []
+    part = searched(block) if block else None
+    found = part if found is None else found if part is None else found.unionByName(part)
+    if found is None:
+        return documents.sparkSession.createDataFrame([], _FOUND)
+    strongest = F.struct(F.col("kind") == "passage", "cosine", "common", "answer")
+    return found.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("kind", "cosine", "common", "answer"), strongest).alias("_f")).select("doc_id", "item_id", "_f.*")
 
 
 def p9_found(spark, sf_dir):
@@ -364,5 +426,11 @@ def p9_items(spark, sf_dir):
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
 
 
-QUERIES = {"p9_found": p9_found, "p9_items": p9_items}
+def p9_paraphrases(spark, sf_dir):
+    """Documents that hold no passage of an item but much of its wording and its answer words."""
+    found = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), paraphrases=True)
+    return found.where("kind = 'paraphrase'").select("doc_id", "item_id", "common", F.round("answer", 3).alias("answer"))
+
+
+QUERIES = {"p9_found": p9_found, "p9_items": p9_items, "p9_paraphrases": p9_paraphrases}
 ORACLE: dict[str, str] = {}

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -284,29 +286,33 @@ def test_packing_is_whole(spark):
 
 
 def brute(docs, items):
-    """All pairs of twenty-word windows by edit distance."""
-
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
-
+    """All pairs by the edit distance of every run of an item's words to every part of a document, of any length from twenty words."""
     found = set()
     for d, t in docs:
-        w = words(t)
+        w = np.array(words(t))
         for i, x in items:
-            v = words(x)
-            windows = [v[k : k + 20] for k in range(len(v) - 19)]
-            if len(set(w) & set(v)) < 16:
-                continue
-            if any(w[p] == u[0] and w[p + n - 1] == u[-1] and distance(w[p : p + n], u) <= 2 for n in range(18, 23) for p in range(len(w) - n + 1) for u in windows):
+            v = np.array(words(x))
+            if (d, i) not in found and len(set(w) & set(v)) >= 16 and any(_held_from(w, v[q:]) for q in range(len(v) - 19)):
                 found.add((d, i))
     return found
 
 
+def _held_from(w, v):
+    """Whether a run of v from its first word on, which is intact as the last one is, lies in w with one word in ten altered."""
+    far = 10**6
+    same = w == v[0]
+    row = np.where(np.r_[False, same], 0, far)  # row[p]: least alterations of v[:m] against a part of w that ends before p
+    steps = np.arange(len(w) + 1)
+    for m in range(2, len(v) + 1):
+        equal = w == v[m - 1]
+        ends = np.where(equal, row[:-1], far)
+        if m >= 20 and ends.min(initial=far) <= m // 10:
+            return True
+        new = np.minimum(row + 1, np.r_[far, np.minimum(ends, row[:-1] + 1)])
+        row = np.minimum.accumulate(new - steps) + steps
+    return False
+
+
 def test_leaks_against_brute_force(spark):
     rng = random.Random(6)
     vocabulary = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(200)]
@@ -334,6 +340,65 @@ def test_leaks_against_brute_force(spark):
     assert leakage.find_leaks(frame.limit(0), held).count() == 0 and leakage.find_leaks(frame, held.limit(0)).count() == 0
 
 
+def test_three_alterations_close_together(spark):
+    """Thirty words of which the middle three are altered: no twenty of them have only two."""
+    item = [f"w{k:03d}" for k in range(60)]
+    part = item[10:22] + ["x", "y", "z"] + item[25:40]
+    docs = [(1, " ".join(["before", *part, "after"])), (2, " ".join(part[:-1])), (3, " ".join(part[:12] + ["x", "y", "z", "v"] + part[15:]))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    held = spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in leakage.find_leaks(frame, held).collect()}
+    assert got == brute(docs, [(5, " ".join(item))]) == {(1, 5)}
+
+
+def _planted():
+    """Passages of twenty words with two words altered, left out or put in, in other text; the item of each."""
+    rng = random.Random(3)
+    vocabulary = [f"v{k:03d}" for k in range(500)]
+    heavy = vocabulary[:60]
+    draw = lambda n: [rng.choice(heavy) if rng.random() < 0.6 else rng.choice(vocabulary) for _ in range(n)]
+    items = [(k, " ".join(draw(70))) for k in range(40)]
+    docs, truth = [], set()
+    for k in range(240):
+        i, text = items[k % 40]
+        source = text.split()
+        at = rng.randint(0, 50)
+        part = source[at : at + 20]
+        places = rng.sample(range(1, 19), 2)
+        for p in sorted(places, reverse=True):
+            part[p : p + (k % 3 < 2)] = ["altered"] if k % 3 != 1 else []
+        docs.append((k, " ".join([*draw(rng.randint(5, 60)), *part, *draw(rng.randint(5, 60))])))
+        truth.add((k, i))
+    return docs, items, truth
+
+
+def test_candidates_come_from_the_cosine_alone(spark, monkeypatch):
+    """Altered passages are found; with latent vectors that do not fit together nothing is, since no other index holds candidates."""
+    docs, items, truth = _planted()
+    frame, held = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in leakage.find_leaks(frame, held).collect()}
+    assert truth <= got
+    codes = leakage.Items(items)
+    batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in docs]), pa.array([[codes.vocabulary.get(w, -1) for w in words(t)] for _, t in docs], pa.list_(pa.int32()))], names=["doc_id", "codes"])
+    latent = np.random.default_rng(0).standard_normal((len(codes.vocabulary), 128)).astype(np.float32)
+    found = lambda least: sum(b.num_rows for b in leakage._searcher(codes, latent, least)([batch]))
+    assert found(0.5) > 0 and found(1.01) == 0
+    whole = leakage.window_vectors
+    monkeypatch.setattr(leakage, "window_vectors", lambda flat, starts, v: whole(flat, starts, v if flat is codes.flat else -v[::-1]))
+    assert found(0.5) == 0
+
+
+def test_paraphrases_and_blocks_of_items(spark):
+    docs, items, truth = _planted()
+    told = "the nightly run_4711 copies 93 rows of the old table because the server 8080 waits for every lock and nobody has looked at it"
+    loose = "people say the nightly run_4711 quietly copies some 93 rows out of the old big table because then the server 8080 always waits long for nearly every single lock"
+    frame = spark.createDataFrame([*docs, (900, loose)], "doc_id long, text string")
+    held = spark.createDataFrame([*items, (77, told), (77, told), (78, None)], "item_id long, text string")
+    found = leakage.find_leaks(frame, held, paraphrases=True, item_block=9).collect()
+    assert truth <= {(r.doc_id, r.item_id) for r in found if r.kind == "passage"}
+    assert [(r.item_id, r.kind, round(r.answer, 2)) for r in found if r.doc_id == 900] == [(77, "paraphrase", 1.0)]
+
+
 def test_candidates_are_not_narrowed_for_time():
     """Neither bound is narrower than the values before they were tightened for CPU seconds alone."""
     assert leakage.LATENT >= 56 and leakage.MIN_COSINE <= 0.5
