@@ -1,9 +1,11 @@
 """The k most similar vectors for every vector, within groups: random-projection forests and exact reranking.
 
-Each group with more than ``exact_rows`` distinct vectors gets a forest of trees, fitted on a bounded sample of the group; every
-vector is put into one leaf of each tree. A query descends all trees at once through one priority queue, the leaf
-with the widest margin first, until it has seen enough candidates, a fixed share of the group's rows; its cosines with the vectors of these leaves are exact. Smaller
-groups are a single leaf and so are searched exactly. Copies of a vector are one class, searched once.
+A group is cut into shards of bounded size by the hash of its vectors. In each shard a forest of balanced random-projection trees is grown over
+all its vectors, and each query of the group descends all trees at once through one priority queue over node margins: the best node is
+popped, one path is followed down to a leaf, and the other side of every plane on the way is pushed. It ends when the leaves hold
+``SEARCH_FACTOR`` times the square root of the shard's size in rows, the growth that half-spaces need for neighbours of cosine 0.6. The
+cosines with the rows of these leaves are exact. Work goes by pairs of a shard and a slice of queries, so that no task holds a group,
+and recall depends on the shard's size alone. Copies of a vector are one class, searched once.
 """
 
 from __future__ import annotations
@@ -17,58 +19,149 @@ from codeloom.session import broadcast_if_small, cut, plain_path, table
 
 K = 5
 DIM = 64
-#: Groups up to this size are one leaf.
-EXACT_ROWS = 2048
-#: The forest: trees, least rows aimed at in a leaf, most leaves of a tree (which bounds how often a row travels), rows of a group that it is fitted on.
-TREES = 10
-LEAF_ROWS = 1024
-MOST_LEAVES = 64
-#: Candidates a query sees, with repeats over trees: so many rows, and at least this share of the group, without which recall falls as groups grow.
-SEARCH_ROWS = 12_000
-SEARCH_SHARE = 0.8
-SAMPLE_ROWS = 65_536
-#: Rows whose leaves are found in one task.
-SLICE_ROWS = 20_000
-
-
-def build_forest(sample: np.ndarray, rows: int, trees: int, leaf_rows: float, seed: int) -> np.ndarray:
-    """Planes of complete trees: array (trees, nodes, dim + 1); node i has children 2i+1 and 2i+2, the last column is the offset.
-
-    A plane is midway in rank between the node's vectors along the difference of two of them.
+#: Trees of a forest, least rows aimed at in a leaf, and the factor of the square root of a shard's rows that a query sees, repeats included.
+TREES = 32
+LEAF_ROWS = 64
+SEARCH_FACTOR = 40
+#: Rows of a shard, and queries of a slice where a group is one shard.
+SHARD_ROWS = 131_072
+SLICE_ROWS = 32_768
+#: Queries whose queues are in memory at a time, and cosines likewise.
+_BLOCK = 4096
+_COSINES = 8_000_000
+
+
+class Forest:
+    """Balanced trees over the rows of ``unit``: a plane for each inner node, and the rows in order of leaves.
+
+    A plane is midway between the halves of the node's vectors along the difference of two of them.
     """
-    rng = np.random.default_rng(seed)
-    depth = max(0, int(np.ceil(np.log2(max(1.0, rows / leaf_rows)))))
-    depth = min(depth, max(0, int(np.log2(max(1, len(sample) // 8)))))
-    planes = np.zeros((trees, (1 << depth) - 1, sample.shape[1] + 1), np.float32)
-    for t in range(trees):
-        members = {0: np.arange(len(sample))}
-        for node in range(planes.shape[1]):
-            here = members.pop(node)
-            a, b = rng.choice(len(here), 2, replace=False) if len(here) > 1 else (0, 0)
-            normal = sample[here[a]] - sample[here[b]] if len(here) > 1 else rng.standard_normal(sample.shape[1])
-            length = np.linalg.norm(normal)
-            normal = normal / length if length > 1e-9 else np.eye(sample.shape[1])[rng.integers(sample.shape[1])]
-            along = sample[here] @ normal
-            offset = float(np.median(along)) if len(here) else 0.0
-            planes[t, node, :-1], planes[t, node, -1] = normal, offset
-            members[2 * node + 1], members[2 * node + 2] = here[along < offset], here[along >= offset]
-    return planes
-
-
-def leaf_priorities(vectors: np.ndarray, planes: np.ndarray) -> np.ndarray:
-    """(rows, trees, leaves): the least signed margin on the way to each leaf, the order in which a shared queue pops leaves."""
-    trees, nodes, _ = planes.shape
-    if nodes == 0:
-        return np.full((len(vectors), trees, 1), np.inf, np.float32)
-    margins = (vectors @ planes[:, :, :-1].reshape(trees * nodes, -1).T).reshape(len(vectors), trees, nodes) - planes[None, :, :, -1]
-    level = np.full((len(vectors), trees, 1), np.inf, np.float32)
-    first = 0
-    while first < nodes:
-        width = level.shape[2]
-        m = margins[:, :, first : first + width]
-        level = np.stack([np.minimum(level, -m), np.minimum(level, m)], -1).reshape(len(vectors), trees, 2 * width)
-        first += width
-    return level
+
+    def __init__(self, unit: np.ndarray, trees: int, leaf_rows: int, seed: int):
+        n, dim = unit.shape
+        aim = max(leaf_rows, 0.8 * n**0.5)
+        self.unit, self.trees = unit, trees
+        self.depth = max(0, int(np.ceil(np.log2(max(1.0, n / aim)))))
+        self.leaves = 1 << self.depth
+        self.normals = np.zeros((trees, max(1, self.leaves - 1), dim), np.float32)
+        self.offsets = np.zeros((trees, max(1, self.leaves - 1)), np.float32)
+        self.rows = np.tile(np.arange(n, dtype=np.int32), (trees, 1))
+        self.bounds = _bounds(n, self.depth)
+        rng = np.random.default_rng(seed)
+        for tree in range(trees):
+            self._grow(tree, rng)
+
+    def _grow(self, tree: int, rng: np.random.Generator) -> None:
+        rows, vectors = self.rows[tree], self.unit
+        for level in range(self.depth):
+            bounds = _bounds(len(rows), level)
+            low, sizes = bounds[:-1], np.diff(bounds)
+            a = (rng.random(len(sizes)) * sizes).astype(np.int64)
+            b = (rng.random(len(sizes)) * (sizes - 1)).astype(np.int64)
+            b += b >= a
+            normal = vectors[low + a] - vectors[low + b]
+            length = np.linalg.norm(normal, axis=1, keepdims=True)
+            chance = rng.standard_normal(normal.shape).astype(np.float32)  # for two vectors of one direction
+            normal = np.where(length > 1e-6, normal / np.maximum(length, 1e-6), chance / np.linalg.norm(chance, axis=1, keepdims=True))
+            node = np.repeat(np.arange(len(sizes)), sizes)
+            along = np.einsum("ij,ij->i", vectors, normal[node])
+            order = np.lexsort((along, node))
+            rows, vectors, along = rows[order], vectors[order], along[order]
+            middle = low + (sizes + 1) // 2
+            first = (1 << level) - 1
+            self.normals[tree, first : first + len(sizes)] = normal
+            self.offsets[tree, first : first + len(sizes)] = (along[middle - 1] + along[middle]) / 2
+        self.rows[tree] = rows
+
+    def visited(self, queries: np.ndarray, visits: int) -> np.ndarray:
+        """(queries, visits): leaves as tree * leaves + leaf in the order in which one queue over all trees pops them."""
+        count, trees, depth, leaves = len(queries), self.trees, self.depth, self.leaves
+        if depth == 0:
+            return np.zeros((count, 1), np.int64)
+        visits = min(visits, trees * leaves)
+        queue = np.full((count, trees + visits * depth), -np.inf, np.float32)
+        nodes = np.zeros(queue.shape, np.int32)  # tree * 2 leaves + number of the node in its tree, from 1
+        queue[:, :trees] = np.inf
+        nodes[:, :trees] = np.arange(trees) * 2 * leaves + 1
+        held = trees
+        every = np.arange(count)
+        found = np.empty((count, visits), np.int64)
+        for v in range(visits):
+            best = queue[:, :held].argmax(1)
+            margin = queue[every, best]
+            queue[every, best] = -np.inf
+            tree, node = np.divmod(nodes[every, best], 2 * leaves)
+            for _ in range(depth):
+                inner = np.flatnonzero(node < leaves)
+                if not len(inner):
+                    break
+                t, n = tree[inner], node[inner]
+                side = np.einsum("ij,ij->i", queries[inner], self.normals[t, n - 1]) - self.offsets[t, n - 1]
+                onward = 2 * n + (side >= 0)
+                queue[inner, held] = np.minimum(margin[inner], -np.abs(side))
+                nodes[inner, held] = t * 2 * leaves + (onward ^ 1)
+                node[inner] = onward
+                held += 1
+            found[:, v] = tree.astype(np.int64) * leaves + node - leaves
+        return found
+
+    def search(self, queries: np.ndarray, keep: int, factor: float, exact) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, row, cosine) of the best ``keep`` rows in each query's leaves and of those that tie with the last; best first, ties by row.
+
+        ``exact`` gives the cosines of queries and rows, by which the best in single precision are ranked again.
+        """
+        n = len(self.unit)
+        visits = int(np.ceil(factor * n**0.5 * self.leaves / n))
+        block = _BLOCK if self.depth else max(16, min(_BLOCK, _COSINES // n))
+        parts = [self._best(queries[at : at + block], at, visits, keep, exact) for at in range(0, len(queries), block)]
+        return tuple(np.concatenate(x) for x in zip(*parts))
+
+    def _best(self, queries: np.ndarray, first: int, visits: int, keep: int, exact):
+        leaf = self.visited(queries, visits)
+        order = np.argsort(leaf, axis=None, kind="stable")
+        asked, leaf = order // leaf.shape[1], leaf.ravel()[order]
+        starts = np.flatnonzero(np.r_[True, np.diff(leaf) != 0])
+        parts = []
+        for start, stop in zip(starts.tolist(), [*starts[1:].tolist(), len(leaf)]):
+            tree, at = divmod(int(leaf[start]), self.leaves)
+            rows = self.rows[tree, self.bounds[at] : self.bounds[at + 1]]
+            who = asked[start:stop]
+            cosine = queries[who] @ self.unit[rows].T
+            border = -np.inf if len(rows) <= keep else np.partition(cosine, len(rows) - keep, axis=1)[:, len(rows) - keep, None] - _CLOSE
+            q, r = np.nonzero(cosine >= border)
+            parts.append((who[q], rows[r], cosine[q, r]))
+        q, r, cosine = _ranked(*(np.concatenate(x) for x in zip(*parts)), keep)
+        return _ranked(q + first, r, exact(q + first, r), keep)
+
+
+#: Cosines in single precision that may be equal in double precision.
+_CLOSE = 1e-6
+
+
+def _ranked(q: np.ndarray, r: np.ndarray, cosine: np.ndarray, keep: int):
+    """Each pair once, in order of query, cosine and row, up to those that tie with the ``keep``-th."""
+    order = np.lexsort((r, q))
+    q, r, cosine = q[order], r[order], cosine[order]
+    once = np.r_[True, (np.diff(q) != 0) | (np.diff(r) != 0)][: len(q)]
+    q, r, cosine = q[once], r[once], cosine[once]
+    order = np.lexsort((r, -cosine, q))
+    q, r, cosine = q[order], r[order], cosine[order]
+    starts = np.flatnonzero(np.r_[True, np.diff(q) != 0][: len(q)])
+    sizes = np.diff(np.r_[starts, len(q)])
+    last = np.repeat(cosine[starts + np.minimum(sizes, keep) - 1], sizes)
+    near = cosine >= last - _CLOSE * (cosine.dtype == np.float32)
+    return q[near], r[near], cosine[near]
+
+
+def _bounds(n: int, level: int) -> np.ndarray:
+    """Where the nodes of a level begin in the order of rows; every node is halved."""
+    bounds = np.array([0, n])
+    for _ in range(level):
+        halved = np.empty(2 * len(bounds) - 1, np.int64)
+        halved[::2] = bounds
+        halved[1::2] = bounds[:-1] + (np.diff(bounds) + 1) // 2
+        bounds = halved
+    return bounds
 
 
 def _vectors(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
@@ -76,170 +169,108 @@ def _vectors(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return np.asarray(column.flatten(), np.float32).reshape(-1, dim)
 
 
-def _units(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
-    vectors = _vectors(column, dim).astype(np.float64)
-    return (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
-
-
-def _forest_of_group(trees: int, leaf_rows: int, dim: int):
-    def build(batch: pa.Table) -> pa.Table:
-        unit = _units(batch.column("_u"), dim)
-        rows = batch.column("_n")[0].as_py()
-        order = np.argsort(np.asarray(batch.column("_h")))  # the same forest whatever the order of arrival
-        planes = build_forest(unit[order], rows, trees, max(leaf_rows, rows / MOST_LEAVES), rows % 1009)
-        leaves = planes.shape[1] + 1
-        return pa.table({"_g": batch.column("_g")[:1], "_leaves": pa.array([leaves], pa.int32()), "_planes": pa.array([planes.tobytes()], pa.binary())})
-
-    return build
-
-
-_PLACED = "_g string, _leaf int, _query boolean, _h long, _u array<float>, _ids array<string>"
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of the rows of two arrays, in double precision, to ten digits."""
+    a, b = a.astype(np.float64), b.astype(np.float64)
+    return np.round(np.einsum("ij,ij->i", a, b) / (np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1)), 10)
 
 
-def leaves_to_visit(rows: int, trees: int, leaves: int, search_rows: int, search_share: float) -> int:
-    """Number of leaves whose rows reach the budget of a query in a group of so many rows."""
-    budget = max(search_rows, search_share * rows)
-    return min(trees * leaves, max(trees, int(np.ceil(budget * leaves / rows))))
+_HITS = "_g string, _h long, _own array<string>, _near array<struct<d double, ids array<string>>>"
+_DATA, _QUERY = 1, 2
 
 
-def _place(trees: int, search_rows: int, search_share: float, dim: int):
-    """Own leaf of each tree as data, and the leaves that a query visits."""
-
-    def place(rows: pa.Table, forests: pa.Table) -> pa.Table:
-        fields = pa.schema([("_g", pa.string()), ("_leaf", pa.int32()), ("_query", pa.bool_()), ("_h", pa.int64()), ("_u", pa.list_(pa.float32())), ("_ids", pa.list_(pa.string()))])
-        if rows.num_rows == 0 or forests.num_rows == 0:
-            return fields.empty_table()
-        unit = _units(rows.column("_u"), dim)
-        leaves = forests.column("_leaves")[0].as_py()
-        planes = np.frombuffer(forests.column("_planes")[0].as_py(), np.float32).reshape(trees, leaves - 1, dim + 1)
-        probes = leaves_to_visit(rows.column("_n")[0].as_py(), trees, leaves, search_rows, search_share)
-        at, leaf, query = [], [], []
-        for start in range(0, len(unit), 2048):
-            priority = leaf_priorities(unit[start : start + 2048], planes)
-            own = priority.argmax(2) + np.arange(trees) * leaves
-            flat = priority.reshape(len(priority), -1)
-            visit = np.argpartition(-flat, min(probes, flat.shape[1]) - 1, axis=1)[:, :probes]
-            n = len(priority)
-            at += [np.repeat(np.arange(start, start + n), trees), np.repeat(np.arange(start, start + n), visit.shape[1])]
-            leaf += [own.ravel(), visit.ravel()]
-            query += [np.zeros(own.size, bool), np.ones(visit.size, bool)]
-        taken = rows.take(pa.array(np.concatenate(at)))
-        return pa.table(
-            {
-                "_g": taken.column("_g"), "_leaf": pa.array(np.concatenate(leaf).astype(np.int32)), "_query": pa.array(np.concatenate(query)),
-                "_h": taken.column("_h"), "_u": taken.column("_u"), "_ids": taken.column("_ids"),
-            }, schema=fields,
-        )
-
-    return place
-
-
-_HITS = "_g string, _h long, _c long, _cos double, _ids array<string>"
-
-
-def _rerank(keep: int, dim: int):
-    """Exact cosines of a leaf's queries with its vectors; the best ``keep`` other classes of each query."""
+def _search_pair(keep: int, dim: int, trees: int, leaf_rows: int, factor: float):
+    """Best classes of a slice's queries in a shard."""
+    near = pa.list_(pa.struct([("d", pa.float64()), ("ids", pa.list_(pa.string()))]))
+    fields = pa.schema([("_g", pa.string()), ("_h", pa.int64()), ("_own", pa.list_(pa.string())), ("_near", near)])
 
     def search(batch: pa.Table) -> pa.Table:
-        fields = pa.schema([("_g", pa.string()), ("_h", pa.int64()), ("_c", pa.int64()), ("_cos", pa.float64()), ("_ids", pa.list_(pa.string()))])
-        is_query = np.asarray(batch.column("_query").combine_chunks().to_numpy(zero_copy_only=False), bool)
-        single = not is_query.any()
-        unit = _vectors(batch.column("_u"), dim).astype(np.float64)
-        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-        key = np.asarray(batch.column("_h").combine_chunks())
-        data = np.flatnonzero(~is_query)
-        asks = data if single else np.flatnonzero(is_query)
-        if len(data) == 0 or len(asks) == 0:
+        batch = batch.sort_by("_h")  # the same forest whatever the order of arrival
+        role = np.asarray(batch.column("_role").combine_chunks())
+        raw, key, ids = _vectors(batch.column("_u"), dim), np.asarray(batch.column("_h").combine_chunks()), batch.column("_ids").combine_chunks().cast(pa.list_(pa.string()))
+        data, asks = np.flatnonzero(role & _DATA), np.flatnonzero(role & _QUERY)
+        if not len(data) or not len(asks):
             return fields.empty_table()
-        n = min(keep + 1, len(data))
-        parts = []
-        step = max(16, min(1024, 4_000_000 // len(data)))
-        for start in range(0, len(asks), step):
-            rows = asks[start : start + step]
-            cosine = np.round(unit[rows] @ unit[data].T, 10)
-            best = np.argpartition(-cosine, n - 1, axis=1)[:, :n] if n < len(data) else np.tile(np.arange(n), (len(rows), 1))
-            value = np.take_along_axis(cosine, best, 1)
-            q = np.repeat(rows, n)
-            c = data[best.ravel()]
-            # Ties at the border are all kept, so that the order of ids decides between them.
-            border = value.min(1)
-            tied = np.argwhere((cosine == border[:, None]) & (n < len(data)))
-            if len(tied) > len(rows):
-                q = np.concatenate([q, rows[tied[:, 0]]])
-                c = np.concatenate([c, data[tied[:, 1]]])
-                value = np.concatenate([value.ravel(), cosine[tied[:, 0], tied[:, 1]]])
-            parts.append((q, c, value.ravel()))
-        q, c, value = (np.concatenate(x) for x in zip(*parts))
-        other = key[q] != key[c]
-        q, c, value = q[other], c[other], value[other]
-        return pa.table({"_g": batch.column("_g").take(pa.array(q)), "_h": key[q], "_c": key[c], "_cos": value, "_ids": batch.column("_ids").take(pa.array(c))}, schema=fields)
+        unit = (raw / np.linalg.norm(raw.astype(np.float64), axis=1, keepdims=True)).astype(np.float32)
+        forest = Forest(unit[data], trees, leaf_rows, len(data))
+        q, r, cosine = forest.search(unit[asks], keep + 1, factor, lambda q, r: cosines(raw[asks[q]], raw[data[r]]))
+        other = key[asks[q]] != key[data[r]]
+        q, r, cosine = q[other], r[other], cosine[other]
+        lists = pa.ListArray.from_arrays(
+            pa.array(np.searchsorted(q, np.arange(len(asks) + 1)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(-cosine), ids.take(pa.array(data[r]))], fields=list(near.value_type))
+        )
+        return pa.table({"_g": batch.column("_g").take(pa.array(asks)), "_h": key[asks], "_own": ids.take(pa.array(asks)), "_near": lists}, schema=fields)
 
     return search
 
 
 def nearest(
-    rows: DataFrame, *, group: str, id_: str, vector: str, k: int = K, dim: int = DIM, exact_rows: int = EXACT_ROWS, trees: int = TREES,
-    leaf_rows: int = LEAF_ROWS, search_rows: int = SEARCH_ROWS, search_share: float = SEARCH_SHARE, sample_rows: int = SAMPLE_ROWS, slice_rows: int = SLICE_ROWS,
+    rows: DataFrame, *, group: str, id_: str, vector: str, k: int = K, dim: int = DIM, trees: int = TREES, leaf_rows: int = LEAF_ROWS,
+    search_factor: float = SEARCH_FACTOR, shard_rows: int = SHARD_ROWS, slice_rows: int = SLICE_ROWS, exact: bool = False,
 ) -> DataFrame:
     """(group, id, neighbours array<struct<cosine, id>>): the k most similar other rows of the group, best first, ties by id.
 
     Vectors that are null, zero, not finite or not of ``dim`` elements take no part; neither do rows without an id or group. Ids must be
-    unique. A group with fewer than k + 1 rows gives shorter lists. Columns of other names are ignored.
+    unique. A group with fewer than k + 1 rows gives shorter lists. Columns of other names are ignored. ``exact`` compares all queries with
+    all rows, shard by shard.
     """
+    if exact:
+        trees, leaf_rows = 1, shard_rows * 2
     v = F.col("_v")
     kept = (
         rows.select(F.col(group).cast("string").alias("_g"), F.col(id_).cast("string").alias("_id"), F.col(vector).cast("array<float>").alias("_v"))
         .where(F.col("_g").isNotNull() & F.col("_id").isNotNull() & (F.size("_v") == dim))
         .where(~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
         .where(F.exists(v, lambda x: x != 0))
-        .withColumn("_h", F.xxhash64("_v"))
+        .select("_g", F.xxhash64("_v").alias("_h"), "_id", "_v")
     )
-    kept = cut(kept.select("_g", "_h", "_id", "_v"))  # read several times below
-    members = kept.select("_g", "_h", "_id")
+    kept = cut(kept)  # read again for classes of many copies
+    # The first copies by id stand for a class; the limit holds before the shuffle too.
     copies = Window.partitionBy("_g", "_h").orderBy("_id")
-    classes = (
-        kept.select("_g", "_h", "_id", v.alias("_u"))
-        .withColumn("_r", F.row_number().over(copies))
-        .where(F.col("_r") <= k + 1)
+    classes = cut(
+        kept.withColumn("_r", F.row_number().over(copies))
+        .where(F.col("_r") <= k + 2)
         .groupBy("_g", "_h")
-        .agg(F.min_by("_u", "_id").alias("_u"), F.array_sort(F.collect_list("_id")).alias("_ids"))
+        .agg(F.min_by("_v", "_id").alias("_u"), F.array_sort(F.collect_list("_id")).alias("_ids"))
     )
-    classes = cut(classes)
     sizes = classes.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
-    sized = classes.join(broadcast_if_small(sizes, 200_000), "_g")
-    small = sized.where(F.col("_n") <= exact_rows).select("_g", F.lit(0).alias("_leaf"), F.lit(False).alias("_query"), "_h", "_u", "_ids")
-    large = sized.where(F.col("_n") > exact_rows)
-    sample = large.where(F.pmod(F.col("_h"), F.col("_n")) < sample_rows).select("_g", "_h", "_u", "_n")
-    slices = F.ceil(F.col("_n") / slice_rows).cast("int")
-    forests = sample.groupBy("_g").applyInArrow(_forest_of_group(trees, leaf_rows, dim), "_g string, _leaves int, _planes binary")
-    forests = forests.join(broadcast_if_small(sizes, 200_000), "_g").withColumn("_slice", F.explode(F.sequence(F.lit(0), slices - 1))).select("_g", "_slice", "_leaves", "_planes")
-    sliced = large.withColumn("_slice", F.pmod(F.xxhash64("_h"), slices).cast("int")).select("_g", "_slice", "_h", "_u", "_ids", "_n")
-    placed = sliced.groupBy("_g", "_slice").cogroup(forests.groupBy("_g", "_slice")).applyInArrow(_place(trees, search_rows, search_share, dim), _PLACED)
-    hits = small.unionByName(placed).groupBy("_g", "_leaf").applyInArrow(_rerank(k + 1, dim), _HITS)
-    best = (
-        hits.groupBy("_g", "_h", "_c")
-        .agg(F.max("_cos").alias("_cos"), F.first("_ids").alias("_ids"))
-        .withColumn("_r", F.rank().over(Window.partitionBy("_g", "_h").orderBy(F.desc("_cos"))))
-        .where(F.col("_r") <= k + 1)
-        .select("_g", "_h", F.explode("_ids").alias("_id"), "_cos")
+    shards = F.ceil(F.col("_n") / shard_rows).cast("int")
+    slices = F.greatest(shards, F.least(F.lit(4), F.ceil(F.col("_n") / slice_rows).cast("int")))
+    sizes = sizes.select("_g", shards.alias("_shards"), slices.alias("_slices"))
+    own_shard, own_slice = F.pmod(F.xxhash64("_h", F.lit(1)), F.col("_shards")).cast("int"), F.pmod(F.xxhash64("_h", F.lit(2)), F.col("_slices")).cast("int")
+    place = lambda a, b, role: F.struct(a.alias("a"), b.alias("b"), role.alias("role"))
+    as_data = F.transform(F.sequence(F.lit(0), F.col("_slices") - 1), lambda b: place(F.col("_a"), b, F.when(b == F.col("_b"), _DATA | _QUERY).otherwise(_DATA)))
+    as_query = F.transform(F.filter(F.sequence(F.lit(0), F.col("_shards") - 1), lambda a: a != F.col("_a")), lambda a: place(a, F.col("_b"), F.lit(_QUERY)))
+    tasks = 2 * rows.sparkSession.sparkContext.defaultParallelism
+    pairs = (
+        classes.join(broadcast_if_small(sizes, 200_000), "_g")
+        .withColumns({"_a": own_shard, "_b": own_slice})
+        .select("_g", "_h", "_u", "_ids", F.explode(F.concat(as_data, as_query)).alias("_at"))
+        .select("_g", F.col("_at.a").alias("_a"), F.col("_at.b").alias("_b"), F.col("_at.role").alias("_role"), "_h", "_u", "_ids")
+        .repartition(max(tasks, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "_g", "_a", "_b")
     )
-    own = classes.select("_g", "_h", F.explode("_ids").alias("_id"), F.lit(1.0).alias("_cos"))
-    listed = (
-        best.unionByName(own)
-        .withColumn("_r", F.row_number().over(Window.partitionBy("_g", "_h").orderBy(F.desc("_cos"), "_id")))
-        .where(F.col("_r") <= k + 1)
-        .groupBy("_g", "_h")
-        .agg(F.array_sort(F.collect_list(F.struct((-F.col("_cos")).alias("d"), F.col("_id").alias("id")))).alias("_list"))
-    )
-    return members.join(listed, ["_g", "_h"]).select(
+    found = pairs.groupBy("_g", "_a", "_b").applyInArrow(_search_pair(k + 1, dim, trees, leaf_rows, search_factor), _HITS)
+    if sizes.where("_shards > 1").limit(1).count():
+        found = found.groupBy("_g", "_h").agg(F.first("_own").alias("_own"), F.flatten(F.collect_list("_near")).alias("_near"))  # a list of k + 1 from each shard
+    entry = lambda d, i: F.struct(d.alias("d"), i.alias("id"))
+    listed = F.concat(F.transform("_own", lambda i: entry(F.lit(-1.0), i)), F.flatten(F.transform("_near", lambda x: F.transform(x["ids"], lambda i: entry(x["d"], i)))))
+    best = found.select("_g", "_h", "_own", F.slice(F.array_sort(listed), 1, k + 1).alias("_list"))
+    few = best.where(F.size("_own") <= k + 1).select("_g", F.explode("_own").alias("_id"), "_list")
+    # Classes of more copies: all rows have the same first copies as neighbours, and are spread over salts whatever their number.
+    many = classes.where(F.size("_ids") > k + 1).select("_g", "_h", F.transform(F.slice("_ids", 1, k + 1), lambda i: entry(F.lit(-1.0), i)).alias("_list"), F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("_salt"))
+    crowd = kept.select("_g", "_h", "_id", F.pmod(F.xxhash64("_id"), F.lit(_SALTS)).cast("int").alias("_salt"))
+    crowded = crowd.join(broadcast_if_small(many, 50_000), ["_g", "_h", "_salt"]).select("_g", "_id", "_list")
+    return few.unionByName(crowded).select(
         F.col("_g").alias(group),
         F.col("_id").alias(id_),
-        F.transform(
-            F.slice(F.filter("_list", lambda x: x["id"] != F.col("_id")), 1, k), lambda x: F.struct((-x["d"]).alias("cosine"), x["id"].alias("id"))
-        ).alias("neighbours"),
+        F.transform(F.slice(F.filter("_list", lambda x: x["id"] != F.col("_id")), 1, k), lambda x: F.struct((-x["d"]).alias("cosine"), x["id"].alias("id"))).alias("neighbours"),
     )
 
 
+#: Parts of a class of very many copies.
+_SALTS = 16
+
+
 def current_vectors(chunks: DataFrame, runs: DataFrame) -> DataFrame:
     """Chunks of completed runs with a usable vector, one for each (run, plain path, hash), under its smallest id."""
     current = runs.where(F.col("status") == "completed").select(F.col("id").alias("index_run_id"))

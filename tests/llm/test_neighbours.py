@@ -37,24 +37,47 @@ def test_forest_recall_and_copies(spark):
     centres = rng.standard_normal((40, 8))
     rows = [("g", f"{k:05}", centres[k % 40] + 0.3 * rng.standard_normal(8)) for k in range(1500)] + [("g", f"same{k:03}", np.ones(8)) for k in range(700)]
     truth = brute(rows, 3)
-    got = neighbours_of(spark, rows, exact_rows=200, leaf_rows=60, trees=8, search_rows=600, slice_rows=300)
+    got = neighbours_of(spark, rows, leaf_rows=20, trees=8, shard_rows=600, slice_rows=300)
     assert got.keys() == truth.keys()
     hits = sum(len(set(got[i]) & set(truth[i])) for i in truth)
     assert hits / sum(map(len, truth.values())) > 0.9
     assert got["same010"] == ["same000", "same001", "same002"]
 
 
-def test_budget_grows_with_the_group(spark):
-    """Vectors without close neighbours, in a group five times the rows of the budget."""
+def test_recall_of_the_forest(spark):
+    """Vectors without close neighbours, which is the hardest case; the exact way has them all."""
     rng = np.random.default_rng(3)
     unit = rng.standard_normal((6000, 64)).astype(np.float32)
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-    out = neighbours.nearest(frame(spark, [("g", f"{k:05}", v) for k, v in enumerate(unit)]), group="run", id_="id", vector="v", exact_rows=500, leaf_rows=100, search_rows=1200)
-    got = {int(r.id): {int(n.id) for n in r.neighbours} for r in out.collect()}
     cosine = unit @ unit.T
     np.fill_diagonal(cosine, -2)
     best = np.argpartition(-cosine, 5, axis=1)[:, :5]
-    assert sum(len(got[k] & set(best[k].tolist())) for k in range(6000)) / best.size >= 0.9
+    rows = frame(spark, [("g", f"{k:05}", v) for k, v in enumerate(unit)])
+    for options, least in (({}, 0.9), ({"shard_rows": 2000}, 0.9), ({"exact": True, "shard_rows": 2500}, 0.9999)):
+        got = {int(r.id): {int(n.id) for n in r.neighbours} for r in neighbours.nearest(rows, group="run", id_="id", vector="v", **options).collect()}
+        assert sum(len(got[k] & set(best[k].tolist())) for k in range(6000)) / best.size >= least
+
+
+def test_queue_pops_leaves_by_margin():
+    """Against all margins of all nodes: a leaf's priority is the least margin on its way."""
+    rng = np.random.default_rng(4)
+    unit = rng.standard_normal((900, 16)).astype(np.float32)
+    forest = neighbours.Forest(unit, 3, 30, 1)
+    queries = unit[:50]
+    got = forest.visited(queries, 20)
+    for q, leaves in zip(queries, got.tolist()):
+        priority = np.full(3 * forest.leaves, np.inf)
+        for tree in range(3):
+            for leaf in range(forest.leaves):
+                node = leaf + forest.leaves
+                while node > 1:
+                    side = q @ forest.normals[tree, node // 2 - 1] - forest.offsets[tree, node // 2 - 1]
+                    priority[tree * forest.leaves + leaf] = min(priority[tree * forest.leaves + leaf], side if node % 2 else -side)
+                    node //= 2
+        own = set(np.argsort(-priority, kind="stable")[:3].tolist())
+        assert set(leaves[:3]) == own and len(set(leaves)) == 20
+        assert np.allclose(sorted(np.minimum(priority[leaves[3:]], 0)), sorted(np.sort(-np.maximum(-np.delete(priority, leaves[:3]), 0))[::-1][:17]), atol=1e-5)
+    assert sorted(forest.rows[0].tolist()) == list(range(900))
 
 
 def test_found_pairs(spark, tmp_path):
