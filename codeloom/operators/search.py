@@ -1,13 +1,13 @@
 """Scoped cosine search for many queries in one job, merging and formatting.
 
-Scoring runs as a vectorised kernel over Arrow batches: the query matrix goes to every task, which is why queries are taken in
-blocks of bounded size; each block scans the scope once. ``score_pairs`` is the same in plain expressions, for small inputs.
+Scoring runs as a vectorised kernel over Arrow batches. Up to ``QUERY_BLOCK`` queries without a scope of their own go to every task, and
+the chunks stay where they are. Any other number of queries, and queries that search one repository each, meet the chunks by key: blocks
+of queries with slices of the scope, each pair in a task of bounded size, and only the best of each pair travel on. ``score_pairs`` is the
+same in plain expressions, for sets of queries whose size is checked.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.text import chunk_header
 from codeloom.functions.vector import cosine_similarity
+from codeloom.session import broadcast_if_small
 
 #: Queries that one scan answers; their vectors are what each task holds.
 QUERY_BLOCK = 2048
+#: Chunks of a scope that one pair of a slice and a block of queries holds.
+SLICE_ROWS = 100_000
 HIT_COLUMNS = ("file_path", "chunk_type", "name", "parent_class", "language", "content", "line_start", "line_end")
 
 
@@ -36,73 +39,111 @@ def filtered(chunks: DataFrame, language: str | None = None, chunk_type: str | N
     return chunks
 
 
-def _scorer(queries: list[tuple[int, list[float]]], top_k: int, min_score: float, id_type: pa.DataType):
-    numbers = np.array([q for q, _ in queries], np.int64)
-    dimension = max((len(v) for _, v in queries), default=0)
-    usable = np.array([len(v) == dimension for _, v in queries], bool)
-    matrix = np.array([v if len(v) == dimension else [0.0] * dimension for _, v in queries], np.float64).reshape(len(queries), dimension)
-    norms = np.linalg.norm(matrix, axis=1)
-    schema = pa.schema([("q_idx", pa.int64()), ("id", id_type), ("similarity", pa.float64())])
+class _Kernel:
+    """Best rows of a block of queries in a batch of vectors, NaN after every number, ties at the border kept."""
+
+    def __init__(self, numbers: np.ndarray, vectors: list[np.ndarray], top_k: int, min_score: float):
+        self.numbers, self.top_k, self.min_score = numbers, top_k, min_score
+        self.by_dimension: dict[int, np.ndarray] = {}
+        lengths = np.array([len(v) for v in vectors])
+        for d in np.unique(lengths):
+            self.by_dimension[int(d)] = np.flatnonzero(lengths == d)
+        self.vectors = vectors
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column("_v")
-            lengths = np.asarray(column.value_lengths().fill_null(-1))
+    def best(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of the query, row, cosine)."""
+        lengths = np.asarray(column.value_lengths().fill_null(-1))
+        parts = []
+        for dimension, asks in self.by_dimension.items():
             rows = np.flatnonzero(lengths == dimension)
-            if not len(rows) or not len(numbers):
+            if not len(rows) or not dimension:
                 continue
             data = np.asarray(column.take(pa.array(rows)).flatten(), np.float64).reshape(-1, dimension)
+            matrix = np.stack([self.vectors[k] for k in asks]).astype(np.float64)
             with np.errstate(divide="ignore", invalid="ignore"):
-                cosine = np.clip((matrix @ data.T) / (norms[:, None] * np.linalg.norm(data, axis=1)[None, :]), -1, 1)
-            cosine[~usable] = -2
-            # NaN passes a threshold but ranks behind every number: distance ascending.
+                cosine = np.clip((matrix @ data.T) / (np.linalg.norm(matrix, axis=1)[:, None] * np.linalg.norm(data, axis=1)[None, :]), -1, 1)
             rank = np.where(np.isnan(cosine), -np.inf, cosine)
-            passes = np.isnan(cosine) | (cosine >= min_score)
-            passes[~usable] = False
-            if cosine.shape[1] > top_k:
-                least = -np.partition(-np.where(passes, rank, -np.inf), top_k - 1, axis=1)[:, top_k - 1 : top_k]
-                passes &= rank >= least  # ties at the border go on to the final ranking
+            passes = np.isnan(cosine) | (cosine >= self.min_score)
+            if cosine.shape[1] > self.top_k:
+                least = -np.partition(-np.where(passes, rank, -np.inf), self.top_k - 1, axis=1)[:, self.top_k - 1 : self.top_k]
+                passes &= rank >= least
             q, r = np.nonzero(passes)
-            yield pa.RecordBatch.from_arrays([pa.array(numbers[q]), batch.column("id").take(pa.array(rows[r])), pa.array(cosine[q, r])], schema=schema)
+            parts.append((self.numbers[asks[q]], rows[r], cosine[q, r]))
+        if not parts:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        return tuple(np.concatenate(x) for x in zip(*parts))
 
-    return score
+
+_BATCH = 4096
 
 
 def top_k_per_query(
-    chunks: DataFrame, queries: DataFrame, *, top_k: int = 5, min_score: float = 0.70, query_block: int = QUERY_BLOCK, vector: str = "embedding", exclude_self: bool = False
-) -> DataFrame:
-    """(q_idx, id, similarity, rnk): each query's best rows by cosine distance, then id; batches keep their own best before the shuffle.
+    chunks: DataFrame, queries: DataFrame, *, top_k: int = 5, min_score: float = 0.70, query_block: int = QUERY_BLOCK, slice_rows: int = SLICE_ROWS,
+    vector: str = "embedding", exclude_self: bool = False, scope: str | None = None,
+) -> DataFrame:
+    """(scope, q_idx, id, similarity, rnk): each query's best rows by cosine distance, then id; tasks keep their own best before the shuffle.
 
-    ``queries``: q_idx, vector. ``min_score`` is inclusive and NaN passes it but ranks last. Vectors of another dimension or null are never
+    ``queries``: q_idx, vector, and the ``scope`` column if one is named (then a query sees the rows of its scope alone, q_idx being unique within
+    it). ``min_score`` is inclusive and NaN passes it but ranks last. Vectors of another dimension or null are never
     hits. Without queries the result is empty. ``exclude_self`` leaves out the row whose id is the query's number.
     """
     spark = chunks.sparkSession
-    rows = chunks.select("id", F.col(vector).alias("_v"))
+    in_scope = (F.lit("") if scope is None else F.col(scope).cast("string")).alias("_s")
+    rows = chunks.select(in_scope, "id", F.col(vector).cast("array<float>").alias("_v")).where(F.col("_v").isNotNull() & F.col("_s").isNotNull())
+    asked = queries.select(in_scope, F.col("q_idx").cast("long").alias("q_idx"), F.col("vector").cast("array<float>").alias("_q")).where(F.col("_q").isNotNull() & F.col("_s").isNotNull())
     kind = chunks.schema["id"].dataType
     id_type = pa.int64() if kind.simpleString() == "bigint" else pa.int32() if kind.simpleString() == "int" else pa.string()
-    schema = f"q_idx long, id {kind.simpleString()}, similarity double"
-    hits = spark.createDataFrame([], schema)
-    block: list[tuple[int, list[float]]] = []
-    found: list[DataFrame] = []
+    fields = pa.schema([("_s", pa.string()), ("q_idx", pa.int64()), ("id", id_type), ("similarity", pa.float64())])
+    schema = f"_s string, q_idx long, id {kind.simpleString()}, similarity double"
     keep = top_k + 1 if exclude_self else top_k
-    for row in queries.select("q_idx", F.col("vector").alias("v")).orderBy("q_idx").toLocalIterator():
-        if row["v"] is not None:
-            block.append((row["q_idx"], list(row["v"])))
-        if len(block) == query_block:
-            found.append(rows.mapInArrow(_scorer(block, keep, min_score, id_type), schema))
-            block = []
-    if block:
-        found.append(rows.mapInArrow(_scorer(block, keep, min_score, id_type), schema))
-    for part in found:
-        hits = hits.unionByName(part)
+
+    def table(where: str, kernel: _Kernel, batch) -> pa.RecordBatch:
+        q, r, cosine = kernel.best(batch.column("_v"))
+        return pa.RecordBatch.from_arrays([pa.array([where] * len(q), pa.string()), pa.array(q), batch.column("id").take(pa.array(r)), pa.array(cosine)], schema=fields)
+
+    few = scope is None and asked.limit(query_block + 1).count() <= query_block
+    if few:
+        held = sorted((r["q_idx"], r["_q"]) for r in asked.collect())  # at most query_block of them
+        kernel = _Kernel(np.array([q for q, _ in held], np.int64), [np.array(v, np.float32) for _, v in held], keep, min_score)
+        hits = rows.mapInArrow(lambda batches: (table("", kernel, batch) for batch in batches), schema)
+    else:
+        # Rows of a scope are cut into slices and its queries into blocks, by counts of both.
+        pieces = lambda frame, most, name: frame.groupBy("_s").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name))
+        sizes = pieces(asked, query_block, "_blocks").join(pieces(rows, slice_rows, "_slices"), "_s")
+        sizes = broadcast_if_small(sizes, 100_000)
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        data = rows.join(sizes, "_s").withColumn("_slice", F.pmod(F.xxhash64("id"), F.col("_slices")).cast("int")).select("_s", "_slice", every("_blocks").alias("_block"), "id", "_v")
+        asks = asked.join(sizes, "_s").withColumn("_block", F.pmod(F.xxhash64("q_idx"), F.col("_blocks")).cast("int")).select("_s", every("_slices").alias("_slice"), "_block", "q_idx", "_q")
+
+        def pair(left: pa.Table, right: pa.Table) -> pa.Table:
+            if not left.num_rows or not right.num_rows:
+                return fields.empty_table()
+            vectors = [np.asarray(v.values, np.float32) for v in right.column("_q")]
+            kernel = _Kernel(np.asarray(right.column("q_idx").combine_chunks()), vectors, keep, min_score)
+            where = left.column("_s")[0].as_py()
+            found = [table(where, kernel, batch) for batch in left.select(["id", "_v"]).combine_chunks().to_batches(max_chunksize=_BATCH)]
+            best = pa.Table.from_batches(found, schema=fields)
+            # The batches' best are ranked again, so that a pair sends on its own best alone.
+            order = np.lexsort((-np.nan_to_num(np.asarray(best.column("similarity")), nan=-np.inf), np.asarray(best.column("q_idx"))))
+            q, score = np.asarray(best.column("q_idx"))[order], np.nan_to_num(np.asarray(best.column("similarity")), nan=-np.inf)[order]
+            starts = np.flatnonzero(np.r_[True, np.diff(q) != 0][: len(q)])
+            lengths = np.diff(np.r_[starts, len(q)])
+            least = np.repeat(score[starts + np.minimum(lengths, keep) - 1], lengths) if len(q) else score
+            return best.take(pa.array(order[score >= least]))
+
+        group = ["_s", "_slice", "_block"]
+        hits = data.groupBy(*group).cogroup(asks.groupBy(*group)).applyInArrow(pair, schema)
     if exclude_self:
         hits = hits.where(F.col("id") != F.col("q_idx"))
-    best = Window.partitionBy("q_idx").orderBy(F.when(F.isnan("similarity"), F.lit(float("inf"))).otherwise(1 - F.col("similarity")), "id")
-    return hits.withColumn("rnk", F.row_number().over(best)).where(F.col("rnk") <= top_k)
+    best = Window.partitionBy("_s", "q_idx").orderBy(F.when(F.isnan("similarity"), F.lit(float("inf"))).otherwise(1 - F.col("similarity")), "id")
+    ranked = hits.withColumn("rnk", F.row_number().over(best)).where(F.col("rnk") <= top_k)
+    return ranked.drop("_s") if scope is None else ranked.withColumnRenamed("_s", scope)
 
 
-def score_pairs(chunks: DataFrame, queries: DataFrame, min_score: float, vector: str = "embedding") -> DataFrame:
-    """All (q_idx, id, similarity) at or above a score, in expressions alone; the query side must be small."""
+def score_pairs(chunks: DataFrame, queries: DataFrame, min_score: float, vector: str = "embedding", most_queries: int = 100_000) -> DataFrame:
+    """All (q_idx, id, similarity) at or above a score, in expressions alone, for at most ``most_queries`` queries, which is checked."""
+    if queries.limit(most_queries + 1).count() > most_queries:
+        raise ValueError(f"more than {most_queries} queries: use top_k_per_query")
     pairs = chunks.select("id", F.col(vector).alias("_v")).join(F.broadcast(queries.select("q_idx", F.col("vector").alias("_q"))), F.size("_v") == F.size("_q"))
     return pairs.select("q_idx", "id", cosine_similarity(F.col("_v"), F.col("_q")).alias("similarity")).where(F.col("similarity") >= min_score)
 
@@ -136,10 +177,15 @@ def format_context(ranked: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
 
 def search(
     chunks: DataFrame, repositories: DataFrame, queries: DataFrame, *, language: str | None = None, chunk_type: str | None = None,
-    query_top_k: int = 5, top_k: int = 10, min_score: float = 0.70,
+    query_top_k: int = 5, top_k: int = 10, min_score: float = 0.70, by_repository: bool = False,
 ) -> DataFrame:
-    """Scope, filters, per-query top-k, merge and cap; the winning chunks with their position."""
+    """Active runs, filters, per-query top-k, merge and cap; the winning chunks with their position.
+
+    With ``by_repository`` each query (repo_id, q_idx, vector) searches its repository alone and each repository gets its own list; else all
+    active runs are one scope.
+    """
     scope = filtered(active_chunks(chunks, repositories), language, chunk_type)
-    hits = top_k_per_query(scope, queries, top_k=query_top_k, min_score=min_score)
-    ranked = merge_hits(hits, top_k)
-    return ranked.join(scope.select("id", *HIT_COLUMNS), "id").select("position", "id", *HIT_COLUMNS)
+    keys = ("repo_id",) if by_repository else ()
+    hits = top_k_per_query(scope, queries, top_k=query_top_k, min_score=min_score, scope="repo_id" if by_repository else None)
+    ranked = broadcast_if_small(merge_hits(hits, top_k, keys), 1_000_000)
+    return scope.select(*keys, "id", *HIT_COLUMNS).join(ranked, [*keys, "id"]).select(*keys, "position", "id", *HIT_COLUMNS)

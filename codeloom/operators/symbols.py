@@ -7,11 +7,21 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.text import NON_CODE_EXTENSIONS, extension, module_name, split_lines
 
-# Names without signal for retrieval.
+# Names without signal for retrieval, and the forms of definitions and identifiers.
 NOISE = (
-    "self cls None True False return import from pass raise if else elif for while with try except finally and or not in is as lambda yield await async def class"
-    " str int float bool list dict set tuple len range print type super property staticmethod classmethod"
-).split()
+    "self", "cls", "None", "True", "False",
+    "return", "import", "from", "pass", "raise",
+    "if", "else", "elif", "for", "while", "with",
+    "try", "except", "finally", "and", "or", "not",
+    "in", "is", "as", "lambda", "yield", "await",
+    "async", "def", "class",
+    "str", "int", "float", "bool", "list", "dict",
+    "set", "tuple", "len", "range", "print", "type",
+    "super", "property", "staticmethod", "classmethod",
+)
+_IDENTIFIER = r"[a-zA-Z_][\p{L}\p{N}_]*"
+_DEFINITION = rf"^(?:async\s+)?def\s+({_IDENTIFIER})"
+_CLASS = rf"^class\s+({_IDENTIFIER})"
 
 
 def changed_lines(hunks: Column) -> Column:
@@ -23,20 +33,25 @@ def changed_lines(hunks: Column) -> Column:
 
 def line_symbols(line: Column) -> Column:
     """A definition's name, else a class's, else the identifiers that look like names of types or of the domain."""
-    function = F.regexp_extract(line, r"(?U)^(?:async\s+)?def\s+([a-zA-Z_]\w*)", 1)
-    class_ = F.regexp_extract(line, r"(?U)^class\s+([a-zA-Z_]\w*)", 1)
-    tokens = F.regexp_extract_all(line, F.lit(r"(?U)[a-zA-Z_]\w*"), F.lit(0))
+    function = F.regexp_extract(line, "(?U)" + _DEFINITION, 1)
+    class_ = F.regexp_extract(line, "(?U)" + _CLASS, 1)
+    tokens = F.regexp_extract_all(line, F.lit(_IDENTIFIER), F.lit(0))
     meaningful = F.filter(tokens, lambda t: t.rlike(r"^[A-Z][a-zA-Z0-9]+") | (t.contains("_") & (F.length(t) > 5)))
     return F.when(function != "", F.array(function)).when(class_ != "", F.array(class_)).otherwise(meaningful)
 
 
-def symbols(hunks: Column) -> Column:
-    """Distinct symbols in order of appearance, without noise."""
+def symbols_of(lines: Column) -> Column:
+    """Distinct symbols of lines in order of appearance, without noise."""
     noise = F.array(*map(F.lit, NOISE))
-    found = F.flatten(F.transform(changed_lines(hunks), line_symbols))
+    found = F.flatten(F.transform(lines, line_symbols))
     return F.array_distinct(F.filter(found, lambda t: (F.length(t) > 3) & ~F.array_contains(noise, t)))
 
 
+def symbols(hunks: Column) -> Column:
+    """Symbols of the changed lines of hunks."""
+    return symbols_of(changed_lines(hunks))
+
+
 def file_queries(files: DataFrame, most: int = 8) -> DataFrame:
     """Adds ``query`` to changed code files: module name and up to ``most`` symbols; removed and non-code files and empty queries drop out."""
     named = files.where(F.col("status") != "removed").where(~extension(F.col("filename")).isin(*NON_CODE_EXTENSIONS))
