@@ -3,8 +3,9 @@
 A group is cut into shards of bounded size by the hash of its vectors. In each shard a forest of balanced random-projection trees is grown over
 all its vectors, and each query of the group descends all trees at once through one priority queue over node margins: the best node is
 popped, one path is followed down to a leaf, and the other side of every plane on the way is pushed. It ends when the leaves hold
-``SEARCH_FACTOR`` times the square root of the shard's size in rows, the growth that half-spaces need for neighbours of cosine 0.6. The
-cosines with the rows of these leaves are exact. Work goes by pairs of a shard and a slice of queries, so that no task holds a group,
+``SEARCH_FACTOR`` times the square root of the shard's size in rows, the growth that half-spaces need for neighbours of cosine 0.6, or
+later: how many leaves this shard needs is found from some of its queries, whose neighbours are known exactly. The
+cosines with the rows of the leaves are exact. Work goes by pairs of a shard and a slice of queries, so that no task holds a group,
 and recall depends on the shard's size alone. Copies of a vector are one class, searched once.
 """
 
@@ -23,12 +24,15 @@ DIM = 64
 TREES = 32
 LEAF_ROWS = 64
 SEARCH_FACTOR = 40
+#: Share of the neighbours of ``PROBES`` queries of each task that must lie in the leaves visited; the number of leaves follows from it.
+RECALL = 0.95
+PROBES = 128
 #: Rows of a shard, and queries of a slice where a group is one shard.
 SHARD_ROWS = 131_072
 SLICE_ROWS = 32_768
-#: Queries whose queues are in memory at a time, and cosines likewise.
+#: Queries in memory at a time, and entries of their queues.
 _BLOCK = 4096
-_COSINES = 8_000_000
+_ENTRIES = 8_000_000
 
 
 class Forest:
@@ -105,14 +109,47 @@ class Forest:
             found[:, v] = tree.astype(np.int64) * leaves + node - leaves
         return found
 
+    def _nearest(self, queries: np.ndarray, keep: int) -> np.ndarray:
+        cosine = queries @ self.unit.T
+        near = np.argpartition(-cosine, keep - 1, axis=1)[:, :keep]
+        return np.take_along_axis(near, np.argsort(-np.take_along_axis(cosine, near, 1), axis=1), 1)
+
+    def _block(self, visits: int) -> int:
+        """Queries whose queues, or cosines where a leaf is the whole shard, are in memory at a time."""
+        return max(16, min(_BLOCK, _ENTRIES // (self.trees + visits * self.depth) if self.depth else _ENTRIES // len(self.unit)))
+
+    def visits_needed(self, probes: np.ndarray, keep: int, least: int, recall: float = RECALL) -> int:
+        """Leaves to visit, ``least`` or more, so that this share of the probes' nearest rows is among theirs; the nearest of all, which may be the probe, does not count."""
+        n, leaves = len(self.unit), self.leaves
+        if self.depth == 0 or n <= keep or least * n >= n * leaves:
+            return least
+        near = np.concatenate([self._nearest(probes[at : at + 16], keep) for at in range(0, len(probes), 16)])[:, 1:]
+        sizes = np.diff(self.bounds)
+        held_in = np.empty((self.trees, n), np.int32)
+        for tree in range(self.trees):
+            held_in[tree, self.rows[tree]] = tree * leaves + np.repeat(np.arange(leaves), sizes)
+        visits = least
+        while visits < self.trees * leaves:
+            first = np.empty(near.shape, np.int64)
+            for at in range(0, len(probes), self._block(visits)):
+                for k, order in enumerate(self.visited(probes[at : at + self._block(visits)], visits), at):
+                    when = np.full(self.trees * leaves, self.trees * leaves)
+                    when[order] = np.arange(len(order))
+                    first[k] = when[held_in[:, near[k]]].min(0)
+            needed = int(np.sort(first, axis=None)[int(np.ceil(recall * first.size)) - 1]) + 1
+            if needed <= visits:
+                return max(least, needed)
+            visits *= 2
+        return self.trees * leaves
+
     def search(self, queries: np.ndarray, keep: int, factor: float, exact) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, row, cosine) of the best ``keep`` rows in each query's leaves and of those that tie with the last; best first, ties by row.
 
         ``exact`` gives the cosines of queries and rows, by which the best in single precision are ranked again.
         """
         n = len(self.unit)
-        visits = int(np.ceil(factor * n**0.5 * self.leaves / n))
-        block = _BLOCK if self.depth else max(16, min(_BLOCK, _COSINES // n))
+        visits = self.visits_needed(queries[:: max(1, len(queries) // PROBES)], keep, int(np.ceil(factor * n**0.5 * self.leaves / n)))
+        block = self._block(visits)
         parts = [self._best(queries[at : at + block], at, visits, keep, exact) for at in range(0, len(queries), block)]
         return tuple(np.concatenate(x) for x in zip(*parts))
 
