@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-import struct
+import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -19,8 +20,11 @@ class Embedder(Protocol):
     def embed(self, texts: list[str]) -> list[list[float]]: ...
 
 
+_WORD = re.compile(r"[A-Za-z0-9_]+")
+
+
 class HashEmbedder:
-    """Deterministic offline provider: words are hashed to signed dimensions, vectors have length 1; a blank text raises."""
+    """Deterministic offline provider: words are hashed to signed dimensions, vectors have length 1; a text without words raises."""
 
     def __init__(self, dimension: int = 64):
         self.dimension = dimension
@@ -28,12 +32,13 @@ class HashEmbedder:
     def embed(self, texts: list[str]) -> list[list[float]]:
         found = []
         for text in texts:
-            if not text or not text.strip():
+            counts = Counter(w.lower() for w in _WORD.findall(text or ""))
+            if not counts:
                 raise ValueError("empty text")
             vector = [0.0] * self.dimension
-            for word in text.lower().split():
-                a, b = struct.unpack("<II", hashlib.blake2b(word.encode(), digest_size=8).digest())
-                vector[a % self.dimension] += 1.0 if b & 1 else -1.0
+            for word, n in counts.items():
+                digest = hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()
+                vector[int(digest[:7], 16) % self.dimension] += n if int(digest[-1], 16) % 2 else -n
             length = sum(x * x for x in vector) ** 0.5 or 1.0
             found.append([x / length for x in vector])
         return found

@@ -1,7 +1,8 @@
 """Versioned, content-addressed snapshots of chunks.
 
-``IndexStore`` keeps tables as parquet below one root. Chunks lie in a directory per run, which is written once; runs and repositories
-are logs of status rows of which the last counts. The active pointer is a small file that is written last and moved into place, the one commit point:
+``IndexStore`` keeps tables as parquet below one root. Chunks lie in a directory per run, which is written once. Rows of runs and repositories and
+the active pointer are documents of numbered versions, of which the highest counts: a version is written aside and moved to a name that nobody
+has yet, so that a reader sees the state before or the one after and a crash loses neither. The pointer's new version is the one commit point;
 readers resolve it once, and a failed run leaves it as it was. There is one writer for each repository.
 """
 
@@ -10,9 +11,10 @@ from __future__ import annotations
 import hashlib
 import json
 import time
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeloom.conf import EngineConf
@@ -35,30 +37,46 @@ def insertable(chunks: DataFrame, existing: DataFrame) -> DataFrame:
     return unique_in_batch(chunks).join(existing.select(*CHUNK_KEY).distinct(), CHUNK_KEY, "left_anti")
 
 
-def existing_by_hash(chunks: DataFrame) -> DataFrame:
-    """One row per content hash, the last by creation and id."""
-    latest = Window.partitionBy("content_hash").orderBy(F.desc("created_at"), F.desc("id"))
-    return chunks.withColumn("_r", F.row_number().over(latest)).where(F.col("_r") == 1).drop("_r")
+def existing_by_hash(chunks: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row per content hash (and ``by``), the last by creation and id (A8, S10); each task keeps its own last one before the shuffle."""
+    keys = [*by, "content_hash"]
+    last = F.max_by(F.struct(*[c for c in chunks.columns if c not in keys]), F.struct("created_at", "id")).alias("_row")
+    return chunks.groupBy(*keys).agg(last).select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in chunks.columns])
 
 
-def reusable(new: DataFrame, existing: DataFrame, refresh_positions: bool = False) -> DataFrame:
-    """Rows of the active run whose content the new run has too (J1), one for each new chunk; positions are the old ones unless refreshed."""
-    old = existing_by_hash(existing).select(*_CARRIED)
-    fresh = new.select("content_hash", *[F.col(c).alias(f"_{c}") for c in ("line_start", "line_end", "name", "parent_class")])
-    both = fresh.join(old, "content_hash")
+def reusable(new: DataFrame, existing: DataFrame, refresh_positions: bool = False, by: Sequence[str] = ()) -> DataFrame:
+    """Rows of the active run whose content the new run has too (J1), one for each new chunk; positions are the old ones unless refreshed.
+
+    With ``by``, such as the repository, many are compared at once, each with its own.
+    """
+    keys = [*by, "content_hash"]
+    old = existing_by_hash(existing, by).select(*by, *_CARRIED)
+    fresh = new.select(*keys, *[F.col(c).alias(f"_{c}") for c in ("line_start", "line_end", "name", "parent_class")])
+    both = fresh.join(old, keys)
     if refresh_positions:
-        both = both.select("content_hash", *[F.col(f"_{c}").alias(c) if c in ("line_start", "line_end", "name", "parent_class") else F.col(c) for c in _CARRIED if c != "content_hash"])
-    return both.select(*_CARRIED)
+        return both.select(*by, *[F.col(f"_{c}").alias(c) if c in ("line_start", "line_end", "name", "parent_class") else F.col(c) for c in _CARRIED])
+    return both.select(*by, *_CARRIED)
+
+
+def copied(new: DataFrame, existing: DataFrame, run_id: Column, refresh_positions: bool = False, by: Sequence[str] = ()) -> DataFrame:
+    """Rows that are carried over to the new run, with its id and ids of their own (W9); a (path, hash) is carried once."""
+    rows = reusable(new, existing, refresh_positions, by).withColumn("index_run_id", run_id)
+    return unique_in_batch(rows.withColumn("id", chunk_id()))
+
+
+def chunk_id() -> Column:
+    """Id of a chunk within its run, the same whenever it is written again."""
+    return F.substring(F.sha2(F.concat_ws("\x1f", "index_run_id", "file_path", "content_hash"), 256), 1, 32)
 
 
-def to_embed(new: DataFrame, existing: DataFrame) -> DataFrame:
+def to_embed(new: DataFrame, existing: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """New chunks whose content the active run lacks."""
-    return new.join(existing.select("content_hash").distinct(), "content_hash", "left_anti")
+    return new.join(existing.select(*by, "content_hash").distinct(), [*by, "content_hash"], "left_anti")
 
 
-def deleted_chunks(new: DataFrame, existing: DataFrame) -> DataFrame:
+def deleted_chunks(new: DataFrame, existing: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Chunks of the active run that the new one lacks."""
-    return existing.join(new.select("content_hash").distinct(), "content_hash", "left_anti")
+    return existing.join(new.select(*by, "content_hash").distinct(), [*by, "content_hash"], "left_anti")
 
 
 def superseded(runs: DataFrame, repositories: DataFrame) -> DataFrame:
@@ -100,24 +118,46 @@ class IndexStore:
     def _path(self, *parts: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.root, *parts]))
 
+    def _versions(self, *parts: str) -> list[str]:
+        """Names of a document's versions, the latest last."""
+        place = self._path(*parts)
+        if not self._fs.exists(place):
+            return []
+        return sorted(f.getPath().getName() for f in self._fs.listStatus(place) if f.getPath().getName().startswith("v"))
+
     def _read_json(self, *parts: str) -> dict | None:
-        if not self._fs.exists(self._path(*parts)):
+        versions = self._versions(*parts)
+        if not versions:
             return None
-        rows = self.spark.read.text("/".join([self.root, *parts]), wholetext=True).collect()
-        return json.loads(rows[0][0])
+        stream = self._fs.open(self._path(*parts, versions[-1]))
+        try:
+            return json.loads(bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)))
+        finally:
+            stream.close()
 
     def _write_json(self, value: dict, *parts: str) -> None:
-        """Written beside its place, then moved: a reader sees the old text or the new one."""
-        target = self._path(*parts)
-        self._fs.mkdirs(target.getParent())
-        aside = self._path(*parts[:-1], f"_new-{parts[-1]}")
+        """A further version, written aside and moved to its own name; older versions but the one before are cleared away."""
+        versions = self._versions(*parts)
+        number = int(versions[-1][1:-5]) + 1 if versions else 1
+        self._fs.mkdirs(self._path(*parts))
+        aside, target = self._path(*parts, f"_new-{number:012d}"), self._path(*parts, f"v{number:012d}.json")
         stream = self._fs.create(aside, True)
         stream.write(bytearray(json.dumps(value).encode("utf-8")))
         stream.close()
-        if self._fs.exists(target):
-            self._fs.delete(target, False)
         if not self._fs.rename(aside, target):
             raise OSError(f"cannot move {aside} to {target}")
+        for old in versions[:-1]:
+            self._fs.delete(self._path(*parts, old), False)
+
+    def _documents(self, pattern: str, schema: str) -> DataFrame:
+        """The latest version of all documents below the root that match."""
+        places = self._fs.globStatus(self._path(pattern, "v*.json"))
+        if not places:
+            return self.spark.createDataFrame([], schema)
+        read = self.spark.read.schema(schema).json("/".join([self.root, pattern, "v*.json"])).withColumn("_file", F.col("_metadata.file_path"))
+        parts = F.split("_file", "/")
+        latest = F.max_by(F.struct(*[c for c in read.columns if c != "_file"]), F.element_at(parts, -1))
+        return read.groupBy(F.regexp_replace("_file", "/[^/]+$", "").alias("_document")).agg(latest.alias("_row")).select("_row.*")
 
     # repositories and runs
 
@@ -127,29 +167,29 @@ class IndexStore:
 
     def get_or_create_repository(self, full_name: str, clone_url: str, default_branch: str = "main") -> dict:
         """The repository's row; an existing one comes back as it is."""
-        row = self._read_json("repositories", self.repo_id(full_name), "row.json")
+        row = self._read_json("repositories", self.repo_id(full_name), "row")
         if row is None:
             row = {"id": self.repo_id(full_name), "full_name": full_name, "clone_url": clone_url, "default_branch": default_branch, "status": "pending", "created_at": time.time(), "updated_at": time.time()}
-            self._write_json(row, "repositories", row["id"], "row.json")
+            self._write_json(row, "repositories", row["id"], "row")
         return self.get_repository(full_name)
 
     def get_repository(self, full_name: str) -> dict | None:
         """By name, with the active run."""
-        row = self._read_json("repositories", self.repo_id(full_name), "row.json")
+        row = self._read_json("repositories", self.repo_id(full_name), "row")
         return None if row is None else row | {"active_index_run_id": self.active_run(row["id"])}
 
     def update_repository_status(self, full_name: str, status: str) -> None:
         """W2, W14."""
-        row = self._read_json("repositories", self.repo_id(full_name), "row.json")
-        self._write_json(row | {"status": status, "updated_at": time.time()}, "repositories", row["id"], "row.json")
+        row = self._read_json("repositories", self.repo_id(full_name), "row")
+        self._write_json(row | {"status": status, "updated_at": time.time()}, "repositories", row["id"], "row")
 
     def active_run(self, repo_id: str) -> str | None:
-        pointer = self._read_json("repositories", repo_id, "active.json")
+        pointer = self._read_json("repositories", repo_id, "active")
         return pointer and pointer["index_run_id"]
 
     def set_active_run(self, repo_id: str, run_id: str) -> None:
         """The commit point."""
-        self._write_json({"index_run_id": run_id, "at": time.time()}, "repositories", repo_id, "active.json")
+        self._write_json({"repo_id": repo_id, "index_run_id": run_id, "at": time.time()}, "repositories", repo_id, "active")
 
     def create_run(self, repo_id: str, commit_sha: str, branch: str) -> dict:
         """W4."""
@@ -158,18 +198,18 @@ class IndexStore:
             "id": hashlib.sha256(f"{repo_id}:{commit_sha}:{branch}:{started}".encode()).hexdigest()[:32], "repo_id": repo_id, "commit_sha": commit_sha, "branch": branch, "status": "running",
             "embedding_model": self.conf.embedding_model, "chunking_version": self.conf.chunking_version, "parser_version": self.conf.parser_version, "started_at": started / 1e9,
         }
-        self._write_json(run, "runs", repo_id, run["id"] + ".json")
+        self._write_json(run, "runs", repo_id, run["id"])
         return run
 
     def run(self, repo_id: str, run_id: str) -> dict | None:
         """The run with its derived status: completed but not active is superseded."""
-        run = self._read_json("runs", repo_id, run_id + ".json")
+        run = self._read_json("runs", repo_id, run_id)
         if run and run["status"] == "completed" and self.active_run(repo_id) not in (None, run_id):
             run["status"] = "superseded"
         return run
 
     def _finish(self, run: dict, **values) -> None:
-        self._write_json(run | values | {"completed_at": time.time()}, "runs", run["repo_id"], run["id"] + ".json")
+        self._write_json(run | values | {"completed_at": time.time()}, "runs", run["repo_id"], run["id"])
 
     def complete_run(self, run: dict, **counters) -> None:
         """W5."""
@@ -179,6 +219,20 @@ class IndexStore:
         """The pointer stays."""
         self._finish(run, status="failed", error_message=error)
 
+    def repositories(self) -> DataFrame:
+        """All repositories with their active run, in one job."""
+        fields = "id string, full_name string, clone_url string, default_branch string, status string, created_at double, updated_at double"
+        pointers = self._documents("repositories/*/active", "repo_id string, index_run_id string, at double").select(F.col("repo_id").alias("id"), F.col("index_run_id").alias("active_index_run_id"))
+        return self._documents("repositories/*/row", fields).join(pointers, "id", "left")
+
+    def runs(self) -> DataFrame:
+        """All runs with their derived status, in one job."""
+        fields = (
+            "id string, repo_id string, commit_sha string, branch string, status string, embedding_model string, chunking_version string, parser_version string,"
+            " files_processed int, chunks_created int, chunks_deleted int, error_message string, started_at double, completed_at double"
+        )
+        return superseded(self._documents("runs/*/*", fields), self.repositories())
+
     # chunks
 
     def run_chunks(self, repo_id: str, run_id: str) -> DataFrame | None:
@@ -193,7 +247,7 @@ class IndexStore:
     def write_chunks(self, chunks: DataFrame, repo_id: str, run_id: str) -> int:
         """Appends what is new to a run and tells how many rows that were."""
         rows = chunks.withColumn("index_run_id", F.lit(run_id))
-        rows = rows.withColumn("id", F.substring(F.sha2(F.concat_ws("\x1f", "index_run_id", "file_path", "content_hash"), 256), 1, 32))
+        rows = rows.withColumn("id", chunk_id())
         existing = self.run_chunks(repo_id, run_id)
         rows = cut(unique_in_batch(rows) if existing is None else insertable(rows, existing))
         count = rows.count()

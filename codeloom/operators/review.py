@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codeloom.operators.diff import parse_diffs
+from codeloom.operators.embedding import Embedder, embed
+from codeloom.operators.search import HIT_COLUMNS, active_chunks, format_context, merge_hits, top_k_per_query
+from codeloom.operators.symbols import file_queries
 from codeloom.schemas import REVIEW, allowed
 
 SYSTEM_PROMPT = (
@@ -104,3 +108,63 @@ def http_error_class(status: Column) -> Column:
     return (
         F.when(status < 400, F.lit(None).cast("string")).when(status.isin(429, 503, 504), "transient").when(status.isin(401, 404), "permanent").otherwise("permanent")
     )
+
+
+class Poster(Protocol):
+    """Delivers the body of a review; it is sent to the executors with the job and answers with the status of the call."""
+
+    def post(self, body: str) -> int: ...
+
+
+def post(reviews: DataFrame, poster: Poster, commit: str = "commit_sha") -> DataFrame:
+    """Adds ``status``, ``dropped_comments`` and ``post_error`` to rows with a ``review``.
+
+    A review that is refused with 422 is sent once more without its comments, since lines outside the diff are what is refused; any other
+    failure is reported with its class. Rows without a review are not sent.
+    """
+    kept = reviews.drop("status", "dropped_comments", "post_error", "_full", "_bare", "_commented")
+    review = F.col("review")
+    bodies = kept.select("*", F.when(review.isNotNull(), payload(F.col(commit), review)).alias("_full"), F.when(review.isNotNull(), payload(F.col(commit), review, True)).alias("_bare"), (F.size(review["comments"]) > 0).alias("_commented"))
+    schema = T.StructType([*bodies.schema.fields, T.StructField("status", T.IntegerType()), T.StructField("dropped_comments", T.BooleanType())])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            full, bare, commented = (rows.column(rows.schema.get_field_index(c)).to_pylist() for c in ("_full", "_bare", "_commented"))
+            found: list[tuple[int | None, bool]] = []
+            for body, shorter, has in zip(full, bare, commented):
+                if body is None:
+                    found.append((None, False))
+                    continue
+                status, again = poster.post(body), False
+                if status == 422 and has:
+                    status, again = poster.post(shorter), True
+                found.append((status, again))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([s for s, _ in found], pa.int32()), pa.array([d for _, d in found], pa.bool_())], names=[*rows.schema.names, "status", "dropped_comments"])
+
+    return bodies.mapInArrow(send, schema).withColumn("post_error", http_error_class(F.col("status"))).drop("_full", "_bare", "_commented")
+
+
+def review_changes(
+    diffs: DataFrame, chunks: DataFrame, repositories: DataFrame, embedder: Embedder, reviewer: Reviewer, *, dimension: int, min_score: float = 0.70, query_top_k: int = 5, top_k: int = 10
+) -> DataFrame:
+    """From raw diffs (full_name, pr_number, commit_sha, pr_title, raw_diff) to reviews, all pull requests in one plan.
+
+    Changed files give queries, which search the repository's active run; the excerpts found go into the prompt, and the reviewer's answer
+    is validated. Pull requests without an indexed repository or without hits are reviewed by their diff alone.
+    """
+    files = parse_diffs(diffs)
+    key = ["full_name", "pr_number", "commit_sha"]
+    asked = file_queries(files).select(*key, "file_idx", "query")
+    vectors = embed(asked, "query", embedder, dimension=dimension).where(F.col("embedding").isNotNull())
+    known = repositories.where(F.col("active_index_run_id").isNotNull()).select(F.col("id").alias("repo_id"), "full_name", "active_index_run_id")
+    # A scope of a search is one pull request over its repository's run; queries of one repository meet its chunks once.
+    scoped = vectors.join(known, "full_name").select("repo_id", *key, "file_idx", F.col("embedding").alias("vector"), F.xxhash64(*key, "file_idx").alias("q_idx"))
+    scope = active_chunks(chunks, repositories)
+    hits = top_k_per_query(scope, scoped, top_k=query_top_k, min_score=min_score, scope="repo_id")
+    per_change = hits.join(scoped.drop("vector").withColumnsRenamed({"repo_id": "_repo", "q_idx": "_q"}), (F.col("repo_id") == F.col("_repo")) & (F.col("q_idx") == F.col("_q")))
+    ranked = merge_hits(per_change.withColumn("q_idx", F.col("file_idx")), top_k, ("repo_id", *key))
+    found = ranked.join(scope.select("repo_id", "id", *HIT_COLUMNS), ["repo_id", "id"])
+    contexts = format_context(found, tuple(key))
+    texts = diffs.select(*key, "pr_title").dropDuplicates(key).join(diff_text(files), key, "left").join(contexts, key, "left")
+    prompted = texts.withColumn("prompt", prompt(F.coalesce("pr_title", F.lit("")), F.col("diff_text"), F.col("context"), F.col("context").isNull()))
+    return analyze(prompted.drop("diff_text", "context"), reviewer)

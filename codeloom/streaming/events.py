@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -87,9 +88,10 @@ def deduplicated_table(jobs: DataFrame, horizon_s: int = 3600) -> DataFrame:
 
 
 def latest_jobs(jobs: DataFrame) -> DataFrame:
-    """The latest job of each key (latest wins)."""
-    w = Window.partitionBy("job_id").orderBy(F.desc("ts"))
-    return jobs.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r")
+    """The latest job of each key (latest wins, of equal times the greatest by its other columns); each task keeps its own before the shuffle."""
+    rest = [c for c in jobs.columns if c != "job_id"]
+    ordered = F.struct("ts", *[c for c in rest if c != "ts"])
+    return jobs.groupBy("job_id").agg(F.max(ordered).alias("_last")).select(*[F.col("job_id") if c == "job_id" else F.col(f"_last.{c}").alias(c) for c in jobs.columns])
 
 
 def read_events(spark: SparkSession, path: str, max_files: int = 5) -> DataFrame:
@@ -97,21 +99,40 @@ def read_events(spark: SparkSession, path: str, max_files: int = 5) -> DataFrame
     return spark.readStream.schema(EVENTS.replace("body binary", "body string")).option("maxFilesPerTrigger", max_files).json(path).withColumn("body", F.col("body").cast("binary"))
 
 
-def consume(jobs: DataFrame, history: Callable[[SparkSession], DataFrame], handle: Callable[[DataFrame], None], checkpoint: str, *, tries: int = 3, available_now: bool = True):
-    """Starts a query that hands each batch of jobs, less those whose commit is reviewed, to ``handle``; a failed batch is tried again (ST4, ST5)."""
+class TransientError(Exception):
+    """A failure after which another try may do."""
+
+
+def is_transient(problem: Exception) -> bool:
+    """Failures of connections and time are transient, all others are permanent."""
+    return isinstance(problem, (TransientError, ConnectionError, TimeoutError))
+
+
+def with_retries(work: Callable[[], None], *, tries: int = 3, delay_s: float = 30, limit_s: float = 600, transient: Callable[[Exception], bool] = is_transient, sleep=time.sleep, clock=time.monotonic) -> int:
+    """Runs ``work`` and gives the number of tries; a transient failure is tried again after a delay, as long as tries and time last."""
+    began = clock()
+    for attempt in range(1, tries + 1):
+        try:
+            work()
+            return attempt
+        except Exception as problem:
+            if not transient(problem) or attempt == tries or clock() - began + delay_s > limit_s:
+                raise
+            sleep(delay_s)
+    return tries
+
+
+def consume(
+    jobs: DataFrame, history: Callable[[SparkSession], DataFrame], handle: Callable[[DataFrame], None], checkpoint: str, *, available_now: bool = True, **retries
+):
+    """Starts a query that hands each batch of jobs, less those whose commit is reviewed, to ``handle``; ``with_retries`` says when a failed batch is tried again (ST4, ST5)."""
 
     def batch(rows: DataFrame, _: int) -> None:
         rows.persist()
         try:
             reviewed = history(rows.sparkSession).select("full_name", "pr_number", "commit_sha").distinct()
             fresh = rows.join(reviewed, ["full_name", "pr_number", "commit_sha"], "left_anti")
-            for attempt in range(tries):
-                try:
-                    handle(fresh)
-                    return
-                except Exception:
-                    if attempt + 1 == tries:
-                        raise
+            with_retries(lambda: handle(fresh), **retries)
         finally:
             rows.unpersist()
 

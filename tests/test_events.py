@@ -3,6 +3,7 @@ import hashlib
 import hmac
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from codeloom.streaming import events as ev
@@ -70,9 +71,24 @@ def test_streaming_dedup_and_idempotence(spark, tmp_path):
     def handle(rows):
         calls.append(1)
         if len(calls) == 1:
-            raise RuntimeError("once")
+            raise ConnectionError("once")
         seen.extend(rows.collect())
 
     done = lambda s: s.createDataFrame([("o/r", 7, "abc")], "full_name string, pr_number int, commit_sha string")
-    ev.consume(jobs, done, handle, str(tmp_path / "cp")).awaitTermination(120)
+    ev.consume(jobs, done, handle, str(tmp_path / "cp"), delay_s=0).awaitTermination(120)
     assert [r.job_id for r in seen] == ["ingest:o/r:main"]
+
+
+def test_retries():
+    waits, left = [], [TimeoutError("a"), ev.TransientError("b")]
+
+    def work():
+        if left:
+            raise left.pop()
+
+    assert ev.with_retries(work, sleep=waits.append) == 3 and waits == [30, 30]
+    for problem, options in ((ValueError("permanent"), {}), (ConnectionError("last try"), {"tries": 1}), (ConnectionError("no time left"), {"limit_s": 10})):
+        left = [problem]
+        with pytest.raises(type(problem)):
+            ev.with_retries(work, sleep=waits.append, **options)
+    assert waits == [30, 30]
