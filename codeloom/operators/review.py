@@ -104,10 +104,9 @@ def payload(commit_sha: Column, review: Column, drop_comments: bool = False) ->
 
 
 def http_error_class(status: Column) -> Column:
-    """Whether a failed call is worth another try."""
-    return (
-        F.when(status < 400, F.lit(None).cast("string")).when(status.isin(429, 503, 504), "transient").when(status.isin(401, 404), "permanent").otherwise("permanent")
-    )
+    """Whether a failed call is worth another try (F30); null where the call did not fail or was not made."""
+    transient = status.isin(429, 503, 504)
+    return F.when(status >= 400, F.when(transient, "transient").otherwise("permanent"))
 
 
 class Poster(Protocol):
