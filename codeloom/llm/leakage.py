@@ -27,8 +27,8 @@ MIN_WORDS = 20
 ALTERED = 10
 #: Latent dimensions and further ones of the random sketch.
 LATENT, OVERSAMPLE = 128, 16
-#: Words of a window; steps of the windows of documents and of items.
-WINDOW, STRIDE, ITEM_STRIDE = 20, 5, 5
+#: Words of a window, and the step of windows in documents and in items, which divides the window and the margin.
+WINDOW, STRIDE = 20, 5
 #: Candidates: 0.25 below the least that planted passages with two words altered have (README).
 MIN_COSINE = 0.5
 #: Least common subsequence of a window with the item around: a passage within the bounds has a window at most two words from its
@@ -50,6 +50,8 @@ _PIECE = 40_000
 _SEGMENT = 20_000
 #: Windows whose cosines are in memory at a time.
 _ROWS = 256
+#: Candidates whose common subsequences are sought at a time, few enough for the cache of a core.
+_PAIRS = 8192
 
 
 class Items:
@@ -66,10 +68,11 @@ class Items:
 
 
 def _in_a_row(codes: list[np.ndarray], blank: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where each text begins in one array with ``_MARGIN`` blanks around each."""
+    """Where each text begins in one array, at a multiple of ``STRIDE``, with at least ``_MARGIN`` blanks around each."""
     lengths = np.array([len(c) for c in codes], np.int64)
-    begins = _MARGIN + np.concatenate([[0], np.cumsum(lengths + _MARGIN)])[:-1] if len(lengths) else lengths
-    flat = np.full(int(lengths.sum()) + _MARGIN * (len(lengths) + 1), blank, np.int32)
+    rooms = -(-(lengths + _MARGIN) // STRIDE) * STRIDE
+    begins = _MARGIN + np.concatenate([[0], np.cumsum(rooms)])[:-1] if len(lengths) else lengths
+    flat = np.full(int(rooms.sum()) + 2 * _MARGIN, blank, np.int32)
     for begin, code in zip(begins, codes):
         flat[begin : begin + len(code)] = code
     return begins, flat
@@ -204,21 +207,20 @@ def fit(encoded: DataFrame, items: Items, latent: int = LATENT, oversample: int
     return ((basis @ vectors[:, top]) * idf[:, None]).astype(np.float32)
 
 
-def window_starts(begins: np.ndarray, lengths: np.ndarray, stride: int) -> np.ndarray:
-    """Starts of the windows of texts that lie in a row; the last window of a text ends with it, a short text is one window."""
-    last = np.maximum(0, lengths - WINDOW)
-    per = -(-last // stride) + 1
-    steps = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
-    return np.repeat(begins, per) + np.minimum(steps * stride, np.repeat(last, per))
+def window_starts(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Starts of the windows of texts that lie in a row, at multiples of ``STRIDE``; the last window of a text reaches its end, a short text is one window."""
+    per = -(-np.maximum(0, lengths - WINDOW) // STRIDE) + 1
+    return np.repeat(begins, per) + (np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)) * STRIDE
 
 
 def window_vectors(flat: np.ndarray, starts: np.ndarray, latent: np.ndarray) -> np.ndarray:
-    """Unit latent vectors of windows, from running sums over the row of texts; blanks and words outside the vocabulary add nothing."""
-    vectors = np.where((flat >= 0)[:, None], latent[np.maximum(flat, 0)], 0)
-    sums = np.vstack([np.zeros((1, latent.shape[1]), np.float64), np.cumsum(vectors, axis=0, dtype=np.float64)])
-    found = sums[starts + WINDOW] - sums[starts]
+    """Unit latent vectors of windows, as sums over the steps of which they consist; blanks and words outside the vocabulary add nothing."""
+    known = np.vstack([latent, np.zeros((1, latent.shape[1]), latent.dtype)])[np.where(flat >= 0, flat, len(latent))]
+    steps = known[: len(flat) // STRIDE * STRIDE].reshape(-1, STRIDE, latent.shape[1]).sum(1)
+    at = starts // STRIDE
+    found = sum(steps[at + k] for k in range(WINDOW // STRIDE))
     norm = np.linalg.norm(found, axis=1, keepdims=True)
-    return np.divide(found, norm, out=np.zeros_like(found), where=norm > 1e-9).astype(np.float32)
+    return np.divide(found, norm, out=np.zeros_like(found), where=norm > 1e-6)
 
 
 def common_words(texts: np.ndarray, patterns: np.ndarray) -> np.ndarray:
@@ -292,7 +294,7 @@ def _searcher(items: Items, latent: np.ndarray, min_cosine: float, paraphrases:
     kind = np.int16 if len(items.vocabulary) < 32_000 else np.int32  # narrow numbers compare faster
     lengths = np.array([len(c) for c in items.codes], np.int64)
     long = np.flatnonzero(lengths >= MIN_WORDS)
-    targets = window_starts(items.begins[long], lengths[long], ITEM_STRIDE)
+    targets = window_starts(items.begins[long], lengths[long])
     owner = np.searchsorted(items.begins, targets, "right") - 1
     target_vectors = window_vectors(items.flat, targets, latent).T.copy()
     around = np.arange(-_BESIDE, WINDOW + _BESIDE)
@@ -310,11 +312,11 @@ def _searcher(items: Items, latent: np.ndarray, min_cosine: float, paraphrases:
         """(starts, windows of items, cosine) wherever the cosine is high enough."""
         vectors = window_vectors(flat, starts, latent)
         for at in range(0, len(starts), _ROWS):
-            close = vectors[at : at + _ROWS] @ target_vectors
-            rows = np.flatnonzero(close.max(1) >= min_cosine)
-            if len(rows):
-                w, t = np.nonzero(close[rows] >= min_cosine)
-                yield starts[at + rows[w]], t, close[rows[w], t]
+            close = (vectors[at : at + _ROWS] @ target_vectors).ravel()
+            hot = np.flatnonzero(close >= min_cosine)
+            if len(hot):
+                w, t = np.divmod(hot, len(targets))
+                yield starts[at + w], t, close[hot]
 
     def segment(codes: list[np.ndarray], names: list[int], out: dict[tuple[int, int], tuple]) -> None:
         """Adds what the texts hold, as (kind, cosine, common, answer) by (text, item); a passage is more than a paraphrase."""
@@ -322,9 +324,9 @@ def _searcher(items: Items, latent: np.ndarray, min_cosine: float, paraphrases:
         narrow = flat.astype(kind)
         sizes = np.array([len(c) for c in codes], np.int64)
         kept: list[tuple[np.ndarray, ...]] = []
-        for start, t, cosine in candidates(flat, window_starts(begins, sizes, STRIDE)):
-            for low in range(0, len(start), 100_000):
-                part = slice(low, low + 100_000)
+        for start, t, cosine in candidates(flat, window_starts(begins, sizes)):
+            for low in range(0, len(start), _PAIRS):
+                part = slice(low, low + _PAIRS)
                 common = common_words(narrow[start[part, None] + np.arange(WINDOW)], narrow_items[targets[t[part], None] + around])
                 good = common >= least
                 kept.append((start[part][good], owner[t[part][good]], cosine[part][good], common[good]))
