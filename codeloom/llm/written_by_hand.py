@@ -1,8 +1,9 @@
 """Generated, minified, third-party and data files among source files, from layout statistics of their chunks.
 
-Statistics are sums over the chunks of a file, so that a file is never gathered anywhere. Thresholds are per language.
-Besides layout, three kinds of evidence count: a notice in the leading comment that the code is generated, a
-banner with a package's version and licence, and the same text in several repositories.
+Statistics are sums over the chunks of a file, so that a file is never gathered anywhere. Thresholds are per language, between what
+hand-written files of the language have and what minified ones and data have. Besides layout, four kinds of evidence count, since
+such files are laid out like any other: a notice in the leading comment that the code is generated, a banner with a package's version and
+licence, the same text in several repositories, and a folder kept for the code of others.
 """
 
 from __future__ import annotations
@@ -10,16 +11,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.session import plain_path, table
+from codeloom.session import broadcast_if_small, cut, plain_path, table
 
 #: Thresholds; a language without its own entry has those under "".
-THRESHOLDS = {
-    "": {"long_line": 240, "long_share": 0.5, "long_space": 0.10, "long_marks": 0.12, "data_chars": 800, "data_space": 0.03, "numeric_share": 0.6, "numeric_chars": 600, "encoded_share": 0.5, "encoded_chars": 400, "wrap_line": 70, "wrap_space": 0.07, "wrap_letters_from": 0.4, "wrap_letters_to": 0.85, "wrap_chars": 400, "wrap_marks": 0.12},
-    "py": {"long_line": 240, "long_share": 0.5, "long_space": 0.10, "long_marks": 0.16, "data_chars": 800, "data_space": 0.03, "numeric_share": 0.6, "numeric_chars": 600, "encoded_share": 0.5, "encoded_chars": 400, "wrap_line": 70, "wrap_space": 0.05, "wrap_letters_from": 0.4, "wrap_letters_to": 0.85, "wrap_chars": 400, "wrap_marks": 0.16},
+_COMMON = {
+    "long_line": 240, "long_share": 0.5, "long_space": 0.10, "long_marks": 0.18, "data_chars": 800, "data_space": 0.03, "numeric_share": 0.6, "numeric_chars": 600,
+    "encoded_share": 0.5, "encoded_chars": 400, "wrap_line": 70, "wrap_space": 0.07, "wrap_letters_from": 0.4, "wrap_letters_to": 0.85, "wrap_chars": 400, "wrap_marks": 0.18,
 }
+THRESHOLDS = {
+    "": _COMMON,
+    "js": _COMMON,
+    "ts": _COMMON | {"wrap_line": 90},
+    "jsx": _COMMON | {"long_marks": 0.2, "wrap_line": 60, "wrap_marks": 0.2},
+    "tsx": _COMMON | {"long_marks": 0.2, "wrap_line": 90, "wrap_marks": 0.2},
+    "py": _COMMON | {"long_marks": 0.16, "numeric_share": 0.5, "wrap_line": 140, "wrap_space": 0.05, "wrap_marks": 0.16},
+}
 #: Texts shorter than this say nothing about copying.
 COPY_CHARS = 200
 COPY_SHARE = 0.6
+#: Parts of the rows that carry one copied text.
+_SALTS = 8
 
 # Wording of notices, banners and places of third-party code.
 _MARK = r"(?m)^[ \t]*(?:#+|//+!?|/\*+!?|\*|<!--|\"\"\"|''')[ \t]*"
@@ -34,7 +45,7 @@ _BANNER = _MARK + (
     r"(?:@license\b[^\n]*\d|(?i:@preserve\b)|[\w.@/-]+(?:\.js|\.py)?[ \t]+v?\d+\.\d+(?:\.\d+)?[\w.-]*[ \t]*(?:$|\r|[|(,—-]|(?i:licen[cs]ed|released|copyright|upstream|by))|(?i:[^\n]{0,60}\bupstream (?:copy|source)|[^\n]{0,40}\bvendored (?:copy|from)))"
 )
 _VENDORED = (
-    r"(?i)(?:^|/)(?:node_modules|bower_components|site-packages|jspm_packages)/|(?:^|/)(?:_?vendor(?:ed)?|third[_-]?party|3rdparty|extern(?:al)?s?|contrib/external)/[^/]+/[^/]"
+    r"(?i)(?:^|/)(?:node_modules|bower_components|site-packages|jspm_packages)/|(?:^|/)(?:_?vendor(?:ed)?|third[_-]?party|3rdparty|extern(?:al)?s?|contrib/external)/"
     r"|(?:^|/)[a-z][\w]*-\d+\.\d+(?:\.\d+)?(?:[._-][\w]+)*\.(?:js|py|ts|jsx|tsx)$"
 )
 _MADE_NAME = r"(?i)(?:_pb2(?:_grpc)?\.py|_pb\.[jt]s|\.pb\.[jt]s|\.gen\.[jt]sx?|[._]generated\.\w+|\.g\.[jt]s)$|(?:^|/)(?:__generated__|generated)/"
@@ -109,9 +120,16 @@ def file_kinds(chunks: DataFrame) -> DataFrame:
     A file is the set of its chunks whichever way its path is spelt; repeated chunks count as they come, which leaves
     shares as they are. Null and empty contents add nothing. A null path is a file of its own.
     """
-    statistics = chunk_statistics(chunks)
-    copies = copied_texts(chunks.select(F.col("repo_id"), F.xxhash64(F.coalesce("content", F.lit(""))).alias("fingerprint"), F.length(F.coalesce("content", F.lit(""))).alias("chars")))
-    joined = statistics.join(copies, ["fingerprint", "chars"], "left")
+    statistics = cut(chunk_statistics(chunks))  # texts are read once; a row of numbers for each chunk is left
+    # Texts too short to tell anything join with nothing, each under a key of its own; a text of very many copies is spread over salts.
+    told = F.col("chars") >= COPY_CHARS
+    keyed = statistics.withColumns({
+        "_print": F.when(told, F.col("fingerprint")).otherwise(F.xxhash64("index_run_id", "file_path", "fingerprint")),
+        "_chars": F.when(told, F.col("chars")).otherwise(F.lit(-1)),
+        "_salt": F.pmod(F.xxhash64("index_run_id", "file_path"), F.lit(_SALTS)).cast("int"),
+    })
+    copies = copied_texts(statistics).select(F.col("fingerprint").alias("_print"), F.col("chars").alias("_chars"), F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("_salt"), "copied")
+    joined = keyed.join(broadcast_if_small(copies, 500_000), ["_print", "_chars", "_salt"], "left")
     files = joined.groupBy("index_run_id", "file_path").agg(
         F.min("language").alias("language"),
         *[F.sum(c).alias(c) for c in ("chars", "lines", "space", "letters", "marks", "long_chars", "long_space", "long_marks", "numeric_chars", "encoded_chars")],

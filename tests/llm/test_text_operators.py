@@ -156,9 +156,9 @@ def test_kinds_of_files(spark):
     frame = spark.createDataFrame([(str(i), "run", repo, path, kind, "n", language, text) for i, (repo, path, kind, language, text) in enumerate(rows)], FILE)
     kinds = {r.file_path: r.kind for r in written_by_hand.file_kinds(frame).collect()}
     assert {k: v for k, v in kinds.items() if v} == {
-        "src/made.py": "generated", "public/a.js": "minified", "src/d.py": "data", "src/lib.js": "third_party", "other/lib2.js": "third_party", "src/banner.js": "third_party", "a/node_modules/x/i.js": "third_party", "src/svc_pb2.py": "generated", "src/t.gen.ts": "generated",
+        "src/made.py": "generated", "public/a.js": "minified", "src/d.py": "data", "src/lib.js": "third_party", "other/lib2.js": "third_party", "src/banner.js": "third_party", "a/node_modules/x/i.js": "third_party", "vendor/own.py": "third_party", "src/svc_pb2.py": "generated", "src/t.gen.ts": "generated",
     }
-    assert written_by_hand.hand_written(frame).count() == len(rows) - 9
+    assert written_by_hand.hand_written(frame).count() == len(rows) - 10
     assert written_by_hand.file_kinds(frame.limit(0)).count() == 0
 
 
@@ -166,8 +166,18 @@ def test_third_party_at_any_depth(spark):
     paths = ["vendor/lodash/dist/core.js", "third_party/pkg/src/util/x.py", "a/external/p/q/r/s.ts", "vendor/lodash/core.js", "vendor/own.py", "src/vendors/own/a.py", "src/vendor_list/b/c.py"]
     frame = spark.createDataFrame([(str(i), "run", "r", path, "function", "n", "py", f"def f{i}():\n    return {i}\n") for i, path in enumerate(paths)], FILE)
     kinds = {r.file_path: r.kind for r in written_by_hand.file_kinds(frame).collect()}
-    assert [p for p in paths if kinds[p] == "third_party"] == paths[:4]
-    assert written_by_hand.hand_written(frame).count() == 3
+    assert [p for p in paths if kinds[p] == "third_party"] == paths[:5]
+    assert written_by_hand.hand_written(frame).count() == 2
+
+
+def test_texts_of_many_copies_and_short_ones(spark):
+    """Copies count from two repositories on, whatever their number; short and empty texts never do."""
+    text = "".join(f"def step_{k}(value):\n    return value + {k}\n" for k in range(20))
+    rows = [(f"a{k}", f"run{k}", f"repo{k % 2}", f"src/m{k}.py", "module", "n", "py", text) for k in range(60)]
+    rows += [(f"b{k}", f"run{k}", f"repo{k % 2}", f"src/s{k}.py", "module", "n", "py", "X = 1\n" if k % 3 else "") for k in range(60)]
+    rows += [("c", "run", "repo0", "src/own.py", "module", "n", "py", text + "# own\n"), ("d", "run2", "repo0", "src/own.py", "module", "n", "py", text + "# own\n")]
+    kinds = {(r.index_run_id, r.file_path): r.kind for r in written_by_hand.file_kinds(spark.createDataFrame(rows, FILE)).collect()}
+    assert all((kind == "third_party") == ("/m" in path) for (_, path), kind in kinds.items()) and len(kinds) == 122
 
 
 def test_wrapped_minified_text_and_tables_of_short_numbers(spark):
