@@ -20,6 +20,10 @@ class EcmaError(ValueError):
         self.line = line
 
 
+class EcmaDepthError(EcmaError):
+    """Nested more deeply than this reader goes, which says nothing about the text."""
+
+
 class _Fail(Exception):
     """A rule does not match at an offset; attempts fail often, so the line is counted only for the error that stays."""
 
@@ -1916,6 +1920,6 @@ def parse(source: str, *, ts: bool = False, jsx: bool = False) -> list[Declarati
         message, at = problem.args
         raise EcmaError(message, source.count("\n", 0, at) + 1) from None
     except RecursionError:
-        raise EcmaError("nested too deeply", 1) from None
+        raise EcmaDepthError("nested too deeply", 1) from None
     finally:
         sys.setrecursionlimit(limit)
