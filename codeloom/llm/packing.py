@@ -2,8 +2,8 @@
 
 Bound-certified repacking: items are spread over partitions by hash, each packed by best-fit decreasing. Dual feasible functions give a
 lower bound on the containers that any packing of a partition needs; a partition that meets its bound is certified. Partitions with
-gaps, and the least filled container of the others, give their items up; these meet in fewer partitions and are packed again,
-until the whole meets the bound for all items or one partition is left.
+gaps, and the least filled container of the others, give their items up; these meet in as many partitions as their number fills and are packed again,
+until the whole meets the bound for all items, one partition is left or hardly fewer would be.
 """
 
 from __future__ import annotations
@@ -20,9 +20,8 @@ from codeloom.session import cut, spread, table
 
 CAPACITY = 2048
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Items packed in one task, and by how much partitions shrink from one round to the next.
+#: Items packed in one task, in the last round too.
 PARTITION_ITEMS = 40_000
-MERGE = 8
 #: A container filled this far is never opened again.
 FULL = 0.995
 #: Parameters of the dual feasible functions: thresholds in 32nds of the capacity, and roundings.
@@ -133,7 +132,9 @@ def _packer(capacity: int, round_no: int, last: bool):
 def pack(items: DataFrame, capacity: int = CAPACITY, partition_items: int = PARTITION_ITEMS) -> DataFrame:
     """Items with ``container_id``; no container holds more than ``capacity``, which no item may exceed.
 
-    Items of size 0 go with others. Repeated rows are items each. The result is the same for the same rows.
+    Items of size 0 go with others. Repeated rows are items each. The result is the same for the same rows. No round packs more than about
+    ``partition_items`` in a task: the loose items of a round are counted, and where they would not fit into half as many partitions as
+    before, their next packing is the last.
     """
     items = cut(items)
     histogram = {r["size"]: r["n"] for r in items.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity + 1 rows
@@ -144,18 +145,20 @@ def pack(items: DataFrame, capacity: int = CAPACITY, partition_items: int = PART
     done = 0
     loose = items
     round_no = 0
+    last = parts == 1
     while True:
-        last = parts == 1
         spread = F.pmod(F.xxhash64("doc_id", "piece_no", F.lit(round_no)), F.lit(parts)).cast("int")
         packed = cut(loose.withColumn("_part", spread).groupBy("_part").applyInArrow(_packer(capacity, round_no, last), _PACKED))
-        n = packed.agg(F.count_distinct("container_id").alias("all"), F.count_distinct(F.when(F.col("loose"), F.col("container_id"))).alias("loose")).first()
+        open_container = F.when(F.col("loose"), F.col("container_id"))
+        n = packed.agg(F.count_distinct("container_id").alias("all"), F.count_distinct(open_container).alias("loose"), F.count_if("loose").alias("items")).first()
         if last or n["loose"] == 0 or done + n["all"] <= bound:
             closed.append(packed)
             break
         closed.append(packed.where(~F.col("loose")))
         done += n["all"] - n["loose"]
         loose = packed.where("loose").select("doc_id", "piece_no", "token_from", "token_to", "size")
-        parts = max(1, parts // MERGE)
+        before, parts = parts, max(1, -(-n["items"] // partition_items))
+        last = parts == 1 or parts > before // 2
         round_no += 1
     result = closed[0]
     for more in closed[1:]:

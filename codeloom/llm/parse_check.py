@@ -2,7 +2,7 @@
 
 Each file is parsed by its own grammar. One that fails is parsed by all the other grammars, in the order of a
 ranking by language-specific tokens: the first success names the language the text really is in, and a text that no
-grammar takes is corrupt.
+grammar takes is corrupt. A text that is nested more deeply than a reader goes is left undecided.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.functions.ecma import EcmaError, parse
+from codeloom.functions.ecma import EcmaDepthError, EcmaError, parse
 from codeloom.session import spread, table
 
 #: Grammars by suffix.
@@ -45,18 +45,26 @@ def text_of(content: bytes | None) -> str:
     return text.removeprefix("﻿")
 
 
+class TooDeep(Exception):
+    """The reader's limits end before the text does."""
+
+
 def parse_error(text: str, language: str) -> tuple[str, int] | None:
-    """Message and line where the text does not parse as the language, else None. An empty text parses."""
+    """Message and line where the text does not parse as the language, else None; ``TooDeep`` where that stays open. An empty text parses."""
     if language == "py":
         try:
             with warnings.catch_warnings():
                 warnings.simplefilter("ignore")
                 ast.parse(text)
-        except (SyntaxError, ValueError, RecursionError, MemoryError) as error:
+        except (RecursionError, MemoryError):
+            raise TooDeep from None
+        except (SyntaxError, ValueError) as error:
             return str(getattr(error, "msg", None) or error), int(getattr(error, "lineno", None) or 0)
         return None
     try:
         parse(text, ts=language in ("ts", "tsx"), jsx=language in ("jsx", "tsx"))
+    except EcmaDepthError:
+        raise TooDeep from None
     except EcmaError as error:
         return str(error), error.line
     return None
@@ -69,14 +77,20 @@ def ranked_languages(text: str) -> list[str]:
     return sorted(GRAMMARS, key=lambda k: (-score[k], GRAMMARS.index(k)))
 
 
-def verdict(text: str, language: str) -> tuple[bool, str | None, str | None, int | None]:
-    """Whether the text parses by its own grammar, the grammar that takes it, and the error with its line."""
-    error = parse_error(text, language)
+def verdict(text: str, language: str) -> tuple[bool | None, str | None, str | None, int | None]:
+    """Whether the text parses by its own grammar (null if that stays open), the grammar that takes it, and the error with its line."""
+    try:
+        error = parse_error(text, language)
+    except TooDeep:
+        return None, None, "nested too deeply", None
     if error is None:
         return True, language, None, None
     for other in ranked_languages(text):
-        if other != language and parse_error(text, other) is None:
-            return False, other, *error
+        try:
+            if other != language and parse_error(text, other) is None:
+                return False, other, *error
+        except TooDeep:
+            continue
     return False, None, *error
 
 
@@ -93,7 +107,7 @@ def check_files(files: DataFrame) -> DataFrame:
     """One row per file: parses, the grammar that takes it (parsed_as), first error and its line.
 
     The language is the suffix of ``rel_path``, else the ``language`` column; a file of neither has null in
-    ``parses``. Null and empty contents parse. Repeated rows count each; further columns are left out.
+    ``parses``, as has one nested too deeply to tell. Null and empty contents parse. Repeated rows count each; further columns are left out.
     """
     suffix = F.lower(F.regexp_extract("rel_path", r"\.([A-Za-z]+)$", 1))
     return spread(files.select(
@@ -109,6 +123,7 @@ def failure_rates(checked: DataFrame) -> DataFrame:
         failing.alias("failing"),
         F.count_if(~F.col("parses") & F.col("parsed_as").isNotNull()).alias("wrong_extension"),
         F.count_if(~F.col("parses") & F.col("parsed_as").isNull()).alias("corrupt"),
+        F.count_if(F.col("parses").isNull()).alias("undecided"),
         F.round(failing / F.count(F.lit(1)), 6).alias("failing_share"),
     )
 

@@ -92,14 +92,14 @@ def split_oversized(
         F.transform(blocks, lambda b: F.when(F.length(b) <= F.col("_most"), F.array(b)).otherwise(F.regexp_extract_all(b, F.col("_pattern"), F.lit(0))))
     )
     begin = F.col("_p._ends") - F.length("_p._pieces")
-    upto = lambda i, n: F.aggregate(F.slice("_pieces", 1, i), F.lit(0), lambda a, p: a + n(p))
+    sums = lambda numbers: F.aggregate(numbers, F.array(F.lit(0)), lambda a, n: F.array_append(a, F.element_at(a, -1) + n))  # noqa: E731  # from 0, one more than numbers
     breaks = lambda p: F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit("")))
     cut = (
         over.withColumn("_most", most)
         .withColumn("_pattern", _by_chars(F.col("_most")))
         .withColumn("_pieces", pieces)
-        .withColumn("_ends", F.transform(F.sequence(F.lit(1), F.size("_pieces")), lambda i: upto(i, F.length)))
-        .withColumn("_breaks", F.transform(F.sequence(F.lit(0), F.size("_pieces") - 1), lambda i: upto(i, breaks)))
+        .withColumn("_ends", F.slice(sums(F.transform("_pieces", F.length)), 2, F.size("_pieces")))
+        .withColumn("_breaks", F.slice(sums(F.transform("_pieces", breaks)), 1, F.size("_pieces")))
         .select("id", "_from", "content", F.posexplode(F.arrays_zip("_pieces", "_ends", "_breaks")).alias("_no", "_p"))
         .select("id", "_from", (F.col("_no") + 1).alias("piece_no"), F.col("_p._pieces").alias("_core"), begin.alias("_begin"), F.substring("content", F.greatest(F.lit(1), begin - max_chars), F.least(begin, F.lit(max_chars + 1))).alias("_before"), F.col("_p._breaks").alias("_breaks"))
     )

@@ -256,6 +256,15 @@ def test_files_that_do_not_parse(spark):
     assert parse_check.check_files(files.limit(0)).count() == 0
 
 
+def test_texts_nested_too_deeply_stay_open(spark):
+    """A reader's own limit is no error of the file."""
+    deep = {"a.py": "x = " + "-" * 20_000 + "1\n", "b.js": "x = " + "[" * 60_000 + "]" * 60_000, "c.js": "x = " + "[" * 3_000 + "]" * 3_000, "d.py": "def f(:\n"}
+    files = spark.createDataFrame([("r", "o", path, "", bytearray(text.encode())) for path, text in deep.items()], "index_run_id string, repo_id string, rel_path string, language string, content binary")
+    checked = parse_check.check_files(files)
+    assert {r.rel_path: r.parses for r in checked.collect()} == {"a.py": None, "b.js": None, "c.js": True, "d.py": False}
+    assert sum(r.undecided for r in parse_check.failure_rates(checked).collect()) == 2
+
+
 # packing
 
 
@@ -292,6 +301,15 @@ def test_packing_is_whole(spark):
     assert packing.pack(packing.sized_items(frame.limit(0))).count() == 0
 
 
+def test_no_task_packs_more_than_its_share(spark, monkeypatch):
+    """Items that leave gaps wherever they are: rounds end while the loose ones still fill several partitions."""
+    items = spark.createDataFrame([(k, 1, 0, 60, 60 - k % 7) for k in range(3000)], "doc_id long, piece_no int, token_from int, token_to int, size int")
+    packed = packing.pack(items, capacity=100, partition_items=300)
+    assert packed.count() == 3000 and packed.select("container_id").distinct().count() == 3000
+    tasks = packed.groupBy(F.substring_index("container_id", "-", 2)).count().agg(F.max("count")).first()[0]
+    assert tasks < 600
+
+
 # leakage
 
 
