@@ -2,7 +2,7 @@
 
 Labels are O, B (first token of a secret) and I (further tokens). The model is trained once in a process, on lines that
 ``secret_samples`` writes from templates with a fixed seed. B is open only to tokens of candidate atoms and of users in
-addresses, which lets lines without one be passed over unlabelled.
+addresses; every line is cut into tokens, and one without an open token, which has no path through B, is left at O.
 """
 
 from __future__ import annotations
@@ -287,31 +287,6 @@ def _own_kind(text: str) -> str:
     return "mix" if len(text) < 14 else "longmix"
 
 
-#: What a literal, a comment, an assignment of a shell or an address needs in a line: without one of these ``lex`` finds no atom and no user.
-_MARKED = re.compile(r"^[^\n]*?(?:[\"'`#]|//|/\*|\*(?=\s)|--(?=\s))|" + _SHELL.pattern.replace(r"\s*(", r"^[^\S\n]*(", 1).replace(r"\s+", r"[^\S\n]+", 1).replace(r"\s*$", r"[^\S\n]*$"), re.M)
-_FENCE = re.compile(r"\"\"\"|\'\'\'|`")
-
-
-def places_to_read(text: str) -> list[int]:
-    """An offset in each line that can have a token at which a secret may begin, by what ``lex`` needs to open one.
-
-    From the first mark of a string of several lines on that is every line, since such a string makes a literal of lines without marks.
-    """
-    fence = _FENCE.search(text)
-    end = fence.start() if fence else len(text)
-    found = [m.end() - 1 for m in _MARKED.finditer(text, 0, end)]
-    while fence and end >= 0:
-        found.append(end)
-        at = text.find("\n", end)
-        end = at + 1 if at >= 0 else -1
-    return found
-
-
-def worth_reading(line: str) -> bool:
-    """Whether a single line can hold a candidate."""
-    return bool(places_to_read(line))
-
-
 class Crf:
     """Weights of a chain over O, B and I."""
 

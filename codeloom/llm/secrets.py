@@ -1,6 +1,6 @@
 """Credentials in source text: their places, and the text without them.
 
-Lines that can hold a candidate are cut into lexical tokens and labelled by a linear-chain conditional random field
+Every line is cut into lexical tokens and labelled by a linear-chain conditional random field
 (``secret_crf``); the Viterbi spans are the characters that are redacted. Private keys in armour are one token of
 several lines. Replacements keep quotes, length in lines and the code around.
 """
@@ -8,7 +8,6 @@ several lines. Replacements keep quotes, length in lines and the code around.
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
 from functools import lru_cache
 from hashlib import blake2b
 
@@ -17,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codeloom.llm.secret_crf import Crf, Line, lex, places_to_read, private_keys, train
+from codeloom.llm.secret_crf import Crf, Line, lex, private_keys, train
 from codeloom.llm.secret_samples import samples
 from codeloom.session import table
 
@@ -27,7 +26,6 @@ SEED = 20
 #: Longer training lines are left out.
 TRAINING_TOKENS = 48
 _SPANS = T.ArrayType(T.StructType([T.StructField("line_no", T.IntegerType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-_BREAK = re.compile("\n")
 _BLOCK = re.compile(r"\"\"\"|'''|`")
 
 
@@ -57,23 +55,19 @@ def secret_spans(text: str | None, crf: Crf) -> list[tuple[int, int, int]]:
     armoured = "-----BEGIN" in text
     keys = private_keys(text) if armoured else []
     armour = [(m.start(), max(m.end(), e)) for m, e in _armours(text)] if armoured else []
-    places = places_to_read(text)
-    if places:
-        starts = [0, *(m.end() for m in _BREAK.finditer(text))]
-        fences = [(m.start(), m.group()) for m in _BLOCK.finditer(text)] if '"""' in text or "'''" in text or "`" in text else []
-        fence, passed = "", 0
-        for n in sorted({bisect_right(starts, p) - 1 for p in places}):
-            at = starts[n]
-            end = starts[n + 1] - 1 if n + 1 < len(starts) else len(text)
-            line = text[at:end]
-            while passed < len(fences) and fences[passed][0] < at:
-                mark = fences[passed][1]
-                fence = mark if not fence else "" if fence == mark else fence
-                passed += 1
-            if any(s <= end and at < e for s, e in armour):
-                continue
-            before = text[starts[n - 1] : at - 1] if n and line.lstrip()[:1] in ("'", '"', "`") else ""
-            found += [(n + 1, at + s, at + e) for s, e in crf.of(line, before, bool(fence) and not _BLOCK.match(line.lstrip()))]
+    fences = [(m.start(), m.group()) for m in _BLOCK.finditer(text)] if '"""' in text or "'''" in text or "`" in text else []
+    fence, passed, at, above = "", 0, 0, ""
+    for n, line in enumerate(text.split("\n"), 1):
+        end = at + len(line)
+        while passed < len(fences) and fences[passed][0] < at:
+            mark = fences[passed][1]
+            fence = mark if not fence else "" if fence == mark else fence
+            passed += 1
+        if not any(s <= end and at < e for s, e in armour):
+            bare = line.lstrip()
+            before = above if bare[:1] in ("'", '"', "`") else ""
+            found += [(n, at + s, at + e) for s, e in crf.of(line, before, bool(fence) and not _BLOCK.match(bare))]
+        above, at = line, end + 1
     for s, e in keys:
         found.append((text.count("\n", 0, s) + 1, s, e))
     found.sort()
