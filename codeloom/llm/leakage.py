@@ -223,14 +223,29 @@ def window_vectors(flat: np.ndarray, starts: np.ndarray, latent: np.ndarray) ->
     return np.divide(found, norm, out=np.zeros_like(found), where=norm > 1e-6)
 
 
-def common_words(texts: np.ndarray, patterns: np.ndarray) -> np.ndarray:
-    """Length of the longest common subsequence of each row of ``texts`` with the same row of ``patterns`` (32 words), bit-parallel."""
-    row = np.full(len(patterns), 0xFFFFFFFF, np.uint32)
-    for k in range(texts.shape[1]):
+def common_words(texts: np.ndarray, patterns: np.ndarray, least: int = 0) -> np.ndarray:
+    """Length of the longest common subsequence of each row of ``texts`` with the same row of ``patterns`` (32 words), bit-parallel.
+
+    Rows that can no longer reach ``least`` are given up on the way, with 0.
+    """
+    width, total = texts.shape[1], len(patterns)
+    row = np.full(total, 0xFFFFFFFF, np.uint32)
+    kept = np.arange(total)
+    for k in range(width):
         match = np.packbits(patterns == texts[:, k : k + 1], axis=1, bitorder="little").view(np.uint32).ravel()
         met = row & match
         row = (row + met) | (row - met)
-    return np.bitwise_count(~row).astype(np.int64)
+        if k in _STOPS:
+            going = np.flatnonzero(np.bitwise_count(~row) + (width - 1 - k) >= least)
+            if len(going) < len(row):
+                row, kept, texts, patterns = row[going], kept[going], texts[going], patterns[going]
+    found = np.zeros(total, np.int64)
+    found[kept] = np.bitwise_count(~row)
+    return found
+
+
+#: Words of a window after which rows are given up.
+_STOPS = (8, 11, 14)
 
 
 def _same(a: list[int], i: int, b: list[int], j: int, step: int) -> int:
@@ -327,7 +342,7 @@ def _searcher(items: Items, latent: np.ndarray, min_cosine: float, paraphrases:
         for start, t, cosine in candidates(flat, window_starts(begins, sizes)):
             for low in range(0, len(start), _PAIRS):
                 part = slice(low, low + _PAIRS)
-                common = common_words(narrow[start[part, None] + np.arange(WINDOW)], narrow_items[targets[t[part], None] + around])
+                common = common_words(narrow[start[part, None] + np.arange(WINDOW)], narrow_items[targets[t[part], None] + around], least)
                 good = common >= least
                 kept.append((start[part][good], owner[t[part][good]], cosine[part][good], common[good]))
         if not sum(len(k[0]) for k in kept):
@@ -346,11 +361,16 @@ def _searcher(items: Items, latent: np.ndarray, min_cosine: float, paraphrases:
             if d not in held:
                 held = {d: codes[d].tolist()}
             passage = False
+            tried: set[tuple[int, int]] = set()  # windows overlap, and so do their runs
             for k in range(a, b):
                 if common[k] < MIN_COMMON or passage:
                     break
                 p = int(start[k] - begins[d])
-                passage = any(holds(held[d], i, lists[n], j) for i, j in _anchors(held[d], max(0, p - _BESIDE), min(p + WINDOW, len(held[d])), places[n], lists[n]))
+                for i, j in _anchors(held[d], max(0, p - _BESIDE), min(p + WINDOW, len(held[d])), places[n], lists[n]):
+                    run = i - _same(held[d], i - 1, lists[n], j - 1, -1), i - j  # its first word and diagonal
+                    if run not in tried:
+                        tried.add(run)
+                        passage = passage or holds(held[d], i, lists[n], j)
             if not passage and not paraphrases:
                 continue
             answer = items.answers[n]

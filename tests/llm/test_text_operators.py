@@ -441,6 +441,25 @@ def test_candidates_come_from_the_cosine_alone(spark, monkeypatch):
     assert found(0.5) == 0
 
 
+def test_longest_common_subsequences():
+    rng = np.random.default_rng(8)
+    texts, patterns = rng.integers(0, 9, (300, 20)), rng.integers(0, 9, (300, 32))
+
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    truth = np.array([plain(a, b) for a, b in zip(texts, patterns)])
+    assert (leakage.common_words(texts, patterns) == truth).all()
+    cut = leakage.common_words(texts, patterns, 13)
+    assert (cut[truth >= 13] == truth[truth >= 13]).all() and (cut <= truth).all() and (cut == 0).any()
+    assert len(leakage.common_words(texts[:0], patterns[:0], 13)) == 0
+
+
 def test_paraphrases_and_blocks_of_items(spark):
     docs, items, truth = _planted()
     told = "the nightly run_4711 copies 93 rows of the old table because the server 8080 waits for every lock and nobody has looked at it"
