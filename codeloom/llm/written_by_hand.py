@@ -73,35 +73,35 @@ def chunk_statistics(chunks: DataFrame) -> DataFrame:
     """Layout statistics of each chunk, all of them sums or flags. Costly patterns run only over chunks that can match."""
     text = F.coalesce(F.col("content"), F.lit(""))
     chars = F.length(text)
-    lengths = F.transform(F.split(text, "\n", -1), lambda line: F.length(line))
     long_text = F.array_join(F.filter(F.split(text, "\n", -1), lambda line: F.length(line) >= F.col("_limit")), "\n")
-    digits = chars - F.length(F.translate(text, "0123456789", ""))
-    solid = F.length(F.translate(text, " \t\r\n", ""))
+    digits = F.regexp_count(text, F.lit("[0-9]"))
+    space = _without(text, r"[ \t\r\n]+")
     bare = F.when(text.contains("-----BEGIN "), F.regexp_replace(text, _ARMOUR, "")).otherwise(text)
     notice, banner, code = (F.regexp_instr(text, F.lit(p)) for p in (_NOTICE, _BANNER, _CODE))
-    hinted = F.lower(text).rlike(r"generated|do not|produced|changes|manual|compiled|license|licence|upstream|vendored|preserve|\d\.\d")
+    leads = lambda found: F.when(found > 0, (F.col("_code") == 0) | (found <= F.col("_code"))).otherwise(False)
     return (
         chunks.select("index_run_id", "repo_id", plain_path(F.col("file_path")).alias("file_path"), "language", "chunk_type", text.alias("content"))
         .withColumn("_limit", _by_language("long_line"))
-        .withColumn("_longest", F.array_max(lengths))
+        .withColumn("_lengths", F.transform(F.split(text, "\n", -1), lambda line: F.length(line)))
+        .withColumns({"_longest": F.array_max("_lengths"), "_lines": F.size("_lengths"), "_space": space, "_notice": notice, "_banner": banner})
+        .withColumn("_code", F.when((F.col("_notice") > 0) | (F.col("_banner") > 0), code).otherwise(0))
         .withColumn("_long", F.when(F.col("_longest") >= F.col("_limit"), long_text).otherwise(F.lit("")))
-        .withColumn("_hint", hinted)
         .select(
             "index_run_id", "repo_id", "file_path", "language",
             F.xxhash64("content").alias("fingerprint"),
             chars.alias("chars"),
             F.col("_longest").alias("longest"),
             F.length("_long").alias("long_chars"),
-            F.size(lengths).alias("lines"),
-            (chars - solid).alias("space"),
+            F.col("_lines").alias("lines"),
+            F.col("_space").alias("space"),
             _without(text, r"[A-Za-z0-9]+").alias("letters"),
             _without(text, r"[;{}()\[\]=?:!&|<>.]+").alias("marks"),
             F.when(F.col("_long") != "", _without(F.col("_long"), r"\s")).otherwise(0).alias("long_space"),
             F.when(F.col("_long") != "", _without(F.col("_long"), r"[;{}()\[\]=?:!&|<>.]")).otherwise(0).alias("long_marks"),
-            F.when(digits > solid * 0.15, _without(text, _NUMBER)).otherwise(0).alias("numeric_chars"),
+            F.when(digits > (chars - F.col("_space")) * 0.15, _without(text, _NUMBER)).otherwise(0).alias("numeric_chars"),
             F.when(F.col("_longest") >= 60, _without(bare, _ENCODED)).otherwise(0).alias("encoded_chars"),
-            F.when(F.col("_hint"), (notice > 0) & ((code == 0) | (notice <= code))).otherwise(False).alias("notice"),
-            F.when(F.col("_hint"), (banner > 0) & ((code == 0) | (banner <= code))).otherwise(False).alias("banner"),
+            leads(F.col("_notice")).alias("notice"),
+            leads(F.col("_banner")).alias("banner"),
             text.rlike(_MAP_COMMENT).alias("mapped"),
             F.col("chunk_type").isin("function", "method").alias("functions"),
         )
