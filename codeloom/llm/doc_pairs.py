@@ -157,7 +157,7 @@ def docstring_span(function: Span) -> Span | None:
 
 
 def attached_comment(function: Span, comments: list[Span]) -> Span | None:
-    """As-of join: the last block that ends before the function, if it ends on the line directly above."""
+    """As-of join: the last block that ends before the function, unless a line, blank or a statement, lies between."""
     at = bisect_right([c.last for c in comments], function.first - 1) - 1
     return comments[at] if at >= 0 and comments[at].last == function.first - 1 else None
 
@@ -281,7 +281,7 @@ def _documentation_of(content: str | None, name: str | None, language: str | Non
     if function is None:
         return None
     found = []
-    above = attached_comment(function, comment_spans("\n".join(text.split("\n")[: function.first]), language or ""))
+    above = attached_comment(function, comment_spans(text, language or ""))
     if above is not None:
         found.append(above.text)
     if language == "py":

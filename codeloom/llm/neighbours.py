@@ -341,4 +341,17 @@ def p3_neighbours(spark, sf_dir):
 
 
 QUERIES = {"p3_found": p3_found, "p3_neighbours": p3_neighbours}
-ORACLE: dict[str, str] = {}
+
+#: Brute force over all pairs of a run.
+_NEIGHBOURS = r"""WITH v AS (
+  SELECT c.index_run_id AS run, min(c.id) AS id, arg_min(c.embedding, c.id) AS e FROM code_chunks c JOIN index_runs r ON r.id = c.index_run_id AND r.status = 'completed'
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+  GROUP BY c.index_run_id, regexp_replace(replace(file_path, '\', '/'), '^(\./)+', ''), lower(content_hash)
+), n AS (
+  SELECT a.run, a.id, b.id AS other, round(list_cosine_similarity(a.e::DOUBLE[], b.e::DOUBLE[]), 10) AS cosine FROM v a JOIN v b ON a.run = b.run AND a.id <> b.id
+), k AS (SELECT *, row_number() OVER (PARTITION BY run, id ORDER BY cosine DESC, other) AS rank FROM n QUALIFY rank <= 5)
+"""
+ORACLE = {
+    "p3_found": _NEIGHBOURS + "SELECT DISTINCT least(id, other) AS id_a, greatest(id, other) AS id_b FROM k WHERE cosine >= 0.9",
+    "p3_neighbours": _NEIGHBOURS + "SELECT run AS index_run_id, id, rank::INT AS rank, other AS neighbour_id, round(cosine, 6) AS cosine FROM k",
+}

@@ -182,5 +182,15 @@ def p8_fill(spark, sf_dir):
     )
 
 
-QUERIES = {"p8_containers": p8_containers, "p8_fill": p8_fill}
-ORACLE: dict[str, str] = {}
+def p8_placed(spark, sf_dir):
+    """Every document's pieces: whether they cover it without a gap, and whether one was cut although it fits; containers above capacity come as rows without a document."""
+    packed = pack(sized_items(table(spark, sf_dir, "documents")))
+    placed = packed.groupBy("doc_id").agg(
+        (F.sum("size") == F.max("token_to")).alias("covered"), ((F.count(F.lit(1)) > 1) & (F.max("token_to") <= CAPACITY)).alias("needlessly_cut")
+    )
+    overfull = packed.groupBy("container_id").agg(F.sum("size").alias("_n")).where(F.col("_n") > CAPACITY)
+    return placed.unionByName(overfull.select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("covered"), F.lit(None).cast("boolean").alias("needlessly_cut")))
+
+
+QUERIES = {"p8_containers": p8_containers, "p8_fill": p8_fill, "p8_placed": p8_placed}
+ORACLE = {"p8_placed": "SELECT doc_id, true AS covered, false AS needlessly_cut FROM documents"}

@@ -152,5 +152,16 @@ def p4_redacted(spark, sf_dir):
     return redact(table(spark, sf_dir, "code_chunks"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_redacted": p4_redacted}
-ORACLE: dict[str, str] = {}
+def p4_structure(spark, sf_dir):
+    """Whether each redacted content has the length, the lines, the quotes and the brackets of the original, and changes exactly where secrets are."""
+    chunks = table(spark, sf_dir, "code_chunks").select("id", F.col("content").alias("_before"), spans_of(F.col("content")).alias("_spans"))
+    after = chunks.withColumn("_after", _redacted("_before", "_spans"))
+    outline = lambda c: F.regexp_replace(c, r"[^\r\n]+", "")
+    same_length = F.length("_before") == F.length("_after")
+    return after.select(
+        "id", same_length.alias("same_length"), (outline(F.col("_before")) == outline(F.col("_after"))).alias("same_lines"), ((F.col("_before") == F.col("_after")) == (F.size("_spans") == 0)).alias("changed_where_found")
+    )
+
+
+QUERIES = {"p4_found": p4_found, "p4_redacted": p4_redacted, "p4_structure": p4_structure}
+ORACLE = {"p4_structure": "SELECT id, true AS same_length, true AS same_lines, true AS changed_where_found FROM code_chunks"}

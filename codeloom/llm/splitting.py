@@ -131,12 +131,24 @@ def p6_pieces(spark, sf_dir):
     return split_oversized(table(spark, sf_dir, "code_chunks"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_pieces": p6_pieces}
+def p6_whole(spark, sf_dir):
+    """Of every oversized chunk: whether its pieces joined without their overlap are its content, all keep the limits and are numbered through."""
+    chunks = table(spark, sf_dir, "code_chunks")
+    core = F.struct("piece_no", F.expr("substring(content, core_start + 1)").alias("core"))
+    pieces = split_oversized(chunks).groupBy("id").agg(
+        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(core)), lambda x: x["core"]), ""), 256).alias("_joined"),
+        (F.max(line_count(F.col("content"))) <= MAX_LINES).alias("lines_kept"),
+        (F.max(F.length("content")) <= MAX_CHARS).alias("chars_kept"),
+        (F.max("piece_no") == F.count(F.lit(1))).alias("numbered"),
+    )
+    return pieces.join(chunks.select("id", F.sha2("content", 256).alias("_whole")), "id").select("id", (F.col("_joined") == F.col("_whole")).alias("whole"), "lines_kept", "chars_kept", "numbered")
+
+
+QUERIES = {"p6_found": p6_found, "p6_pieces": p6_pieces, "p6_whole": p6_whole}
 
-ORACLE = {
-    "p6_found": """
-SELECT id FROM code_chunks
+_OVER = """
+FROM code_chunks
 WHERE length(content) > 6000
    OR length(content) - length(replace(content, chr(10), '')) + CASE WHEN content = '' OR right(content, 1) = chr(10) THEN 0 ELSE 1 END > 80
 """
-}
+ORACLE = {"p6_found": "SELECT id" + _OVER, "p6_whole": "SELECT id, true AS whole, true AS lines_kept, true AS chars_kept, true AS numbered" + _OVER}

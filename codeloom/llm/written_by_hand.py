@@ -178,5 +178,14 @@ def p5_hand_written(spark, sf_dir):
     return hand_written(table(spark, sf_dir, "code_chunks")).select("id", "index_run_id", "file_path", "name", "content")
 
 
-QUERIES = {"p5_found": p5_found, "p5_kinds": p5_kinds, "p5_hand_written": p5_hand_written}
-ORACLE: dict[str, str] = {}
+def p5_files(spark, sf_dir):
+    """Every file with its characters and lines, as the statistics add them up."""
+    return file_kinds(table(spark, sf_dir, "code_chunks")).select("index_run_id", "file_path", "chars", "lines", "longest", "space", "letters")
+
+
+QUERIES = {"p5_found": p5_found, "p5_kinds": p5_kinds, "p5_hand_written": p5_hand_written, "p5_files": p5_files}
+ORACLE = {
+    "p5_files": r"""WITH c AS (SELECT index_run_id, regexp_replace(replace(file_path, '\', '/'), '^(\./)+', '') AS file_path, content, list_transform(string_split(content, chr(10)), lambda x: length(x)) AS l FROM code_chunks)
+SELECT index_run_id, file_path, sum(length(content))::BIGINT AS chars, sum(len(l))::BIGINT AS lines, max(list_max(l))::INT AS longest, sum(length(content) - length(regexp_replace(content, '[ \t\r\n]', '', 'g')))::BIGINT AS space,
+ sum(length(content) - length(regexp_replace(content, '[A-Za-z0-9]', '', 'g')))::BIGINT AS letters FROM c GROUP BY 1, 2"""
+}
