@@ -649,4 +649,9 @@ ORACLE = {
  CASE WHEN most > 0 THEN 1.0 WHEN most = 0 THEN 0.0 END::DOUBLE AS length FROM documents d LEFT JOIN g USING (doc_id)""",
     "review_posts": """WITH r AS (SELECT id, review_decision <> 'APPROVE' AS has, comments_count > 0 AND pr_number % 3 = 0 AND review_decision <> 'APPROVE' AS refused, pr_number FROM pr_reviews)
  SELECT id, CASE WHEN has THEN CASE WHEN pr_number % 7 = 0 THEN 503 ELSE 200 END END::INT AS status, refused AS dropped_comments, CASE WHEN has AND pr_number % 7 = 0 THEN 'transient' END AS post_error FROM r""",
+    "review_whole": _DOCS
+    + f""", a AS (SELECT DISTINCT repo_id FROM ({_ACTIVE}) WHERE len(embedding) = 64)
+ SELECT p.full_name, f.pr_number, CASE WHEN len(list_filter(lines, lambda x: x[1] = '+' AND (contains(x, 'TODO') OR contains(x, 'FIXME')))) > 0 THEN 'REQUEST_CHANGES' ELSE 'COMMENT' END AS event,
+ f.status <> 'removed' AND path NOT LIKE '%.md' AND p.id IN (FROM a) AS with_excerpts, NULL::VARCHAR AS error
+ FROM f JOIN documents d ON d.doc_id = f.doc_id JOIN repositories p ON p.id = d.repo_id""",
 }
