@@ -31,7 +31,7 @@ PROBES = 128
 SHARD_ROWS = 131_072
 SLICE_ROWS = 32_768
 #: Queries in memory at a time, and entries of their queues.
-_BLOCK = 4096
+_BLOCK = 8192
 _ENTRIES = 8_000_000
 
 
@@ -154,7 +154,18 @@ class Forest:
         return tuple(np.concatenate(x) for x in zip(*parts))
 
     def _best(self, queries: np.ndarray, first: int, visits: int, keep: int, exact):
+        """The leaves popped first set a border for each query, which the rows of all later ones must reach."""
         leaf = self.visited(queries, visits)
+        q, r, cosine = _ranked(*self._rows_of(queries, leaf[:, :_FIRST], keep, None), keep)
+        if leaf.shape[1] > _FIRST:
+            ends = np.flatnonzero(np.r_[np.diff(q) != 0, True])
+            border = np.where(np.bincount(q, minlength=len(queries)) >= keep, cosine[ends], -np.inf).astype(np.float32) - np.float32(_CLOSE)
+            later = self._rows_of(queries, leaf[:, _FIRST:], keep, border)
+            q, r, cosine = _ranked(*(np.concatenate(x) for x in zip((q, r, cosine), later)), keep)
+        return _ranked(q + first, r, exact(q + first, r), keep)
+
+    def _rows_of(self, queries: np.ndarray, leaf: np.ndarray, keep: int, border: np.ndarray | None):
+        """(query, row, cosine) in the leaves of each query: the best of each leaf, or what reaches the query's border."""
         order = np.argsort(leaf, axis=None, kind="stable")
         asked, leaf = order // leaf.shape[1], leaf.ravel()[order]
         starts = np.flatnonzero(np.r_[True, np.diff(leaf) != 0])
@@ -164,13 +175,17 @@ class Forest:
             rows = self.rows[tree, self.bounds[at] : self.bounds[at + 1]]
             who = asked[start:stop]
             cosine = queries[who] @ self.unit[rows].T
-            border = -np.inf if len(rows) <= keep else np.partition(cosine, len(rows) - keep, axis=1)[:, len(rows) - keep, None] - _CLOSE
-            q, r = np.nonzero(cosine >= border)
+            if border is not None:
+                least = border[who, None]
+            else:
+                least = -np.inf if len(rows) <= keep else np.partition(cosine, len(rows) - keep, axis=1)[:, len(rows) - keep, None] - _CLOSE
+            q, r = np.nonzero(cosine >= least)
             parts.append((who[q], rows[r], cosine[q, r]))
-        q, r, cosine = _ranked(*(np.concatenate(x) for x in zip(*parts)), keep)
-        return _ranked(q + first, r, exact(q + first, r), keep)
+        return tuple(np.concatenate(x) for x in zip(*parts))
 
 
+#: Leaves of a query that set its border.
+_FIRST = 8
 #: Cosines in single precision that may be equal in double precision.
 _CLOSE = 1e-6
 
