@@ -66,27 +66,20 @@ def module_name(path: Column) -> Column:
     return F.regexp_replace(F.array_join(last, "/"), r"\.[^/]+$", "")
 
 
+# Labels of the parts of an embedded text, in order.
+PART_LABELS = ("file", "type", "name", "class", "description", "calls")
+
+
 def embedding_text(file_path, chunk_type, name, parent_class, docstring, calls, content, most_calls: int = 10) -> Column:
     """What is embedded for a chunk: its place and kind, then the code; empty parts are left out."""
-
-    def part(label: str, value: Column, present: Column | None = None) -> Column:
-        text = F.concat(F.lit(f"{label}: "), value)
-        return text if present is None else F.when(present, text)
-
-    return F.concat_ws(
-        "\n",
-        part("file", file_path),
-        part("type", chunk_type),
-        part("name", name),
-        part("class", parent_class, parent_class != ""),
-        part("description", docstring, docstring != ""),
-        part("calls", F.array_join(F.slice(calls, 1, most_calls), ", "), F.size(calls) > 0),
-        F.concat(F.lit("\n"), content),
-    )
+    values = (file_path, chunk_type, name, parent_class, docstring, F.array_join(F.slice(calls, 1, most_calls), ", "))
+    present = (None, None, None, parent_class != "", docstring != "", F.size(calls) > 0)
+    parts = [F.concat(F.lit(f"{label}: "), value) for label, value in zip(PART_LABELS, values)]
+    return F.concat_ws("\n", *[part if there is None else F.when(there, part) for part, there in zip(parts, present)], F.concat(F.lit("\n"), content))
 
 
 def chunk_header(number, parent_class, name, chunk_type, file_path, line_start, line_end) -> Column:
-    """``[i] Parent.name (type) — path:start-end``."""
+    """``[i] Parent.name (type) — path:start-end``, a fixed form."""
     full = F.when(F.coalesce(parent_class, F.lit("")) != "", F.concat(parent_class, F.lit("."), name)).otherwise(name)
     place = [F.coalesce(x.cast("string"), F.lit("None")) for x in (line_start, line_end)]
     return F.concat(F.lit("["), number.cast("string"), F.lit("] "), full, F.lit(" ("), chunk_type, F.lit(") — "), file_path, F.lit(":"), place[0], F.lit("-"), place[1])

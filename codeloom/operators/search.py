@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.text import chunk_header
 from codeloom.functions.vector import cosine_similarity
-from codeloom.session import broadcast_if_small
+from codeloom.session import broadcast_if_small, cut
 
 #: Queries that one scan answers; their vectors are what each task holds.
 QUERY_BLOCK = 2048
@@ -107,7 +107,8 @@ def top_k_per_query(
         kernel = _Kernel(np.array([q for q, _ in held], np.int64), [np.array(v, np.float32) for _, v in held], keep, min_score)
         hits = rows.mapInArrow(lambda batches: (table("", kernel, batch) for batch in batches), schema)
     else:
-        # Rows of a scope are cut into slices and its queries into blocks, by counts of both.
+        # Rows of a scope are cut into slices and its queries into blocks, by counts of both; queries may come from a model, so they are made once.
+        asked = cut(asked)
         pieces = lambda frame, most, name: frame.groupBy("_s").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name))
         sizes = pieces(asked, query_block, "_blocks").join(pieces(rows, slice_rows, "_slices"), "_s")
         sizes = broadcast_if_small(sizes, 100_000)
@@ -187,5 +188,6 @@ def search(
     scope = filtered(active_chunks(chunks, repositories), language, chunk_type)
     keys = ("repo_id",) if by_repository else ()
     hits = top_k_per_query(scope, queries, top_k=query_top_k, min_score=min_score, scope="repo_id" if by_repository else None)
-    ranked = broadcast_if_small(merge_hits(hits, top_k, keys), 1_000_000)
+    merged = merge_hits(hits, top_k, keys)
+    ranked = broadcast_if_small(cut(merged), 1_000_000) if by_repository else F.broadcast(merged)  # without scopes there are at most top_k rows
     return scope.select(*keys, "id", *HIT_COLUMNS).join(ranked, [*keys, "id"]).select(*keys, "position", "id", *HIT_COLUMNS)
