@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.session import table
+from codeloom.session import spread, table
 
 MAX_LINES = 80
 MAX_CHARS = 6000
@@ -77,9 +77,7 @@ def split_oversized(
     if not 0 <= overlap_lines < max_lines:
         raise ValueError("overlap_lines must be below max_lines")
     content = F.col("content")
-    over = items.where((F.length(content) > max_chars) | (line_count(content) > max_lines)).select(
-        "id", content, F.col("line_start").alias("_from")
-    )
+    over = spread(items.where((F.length(content) > max_chars) | (line_count(content) > max_lines)).select("id", content, F.col("line_start").alias("_from")))
     widths = F.transform(F.split(content, "\n", -1), lambda line: F.length(line) + 1)
     runs = F.transform(
         F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(widths) - (overlap_lines - 1))),
@@ -104,12 +102,18 @@ def split_oversized(
         .select("id", "_from", (F.col("_no") + 1).alias("piece_no"), F.col("_p._pieces").alias("_core"), begin.alias("_begin"), F.substring("content", F.greatest(F.lit(1), begin - max_chars), F.least(begin, F.lit(max_chars + 1))).alias("_before"), F.col("_p._breaks").alias("_breaks"))
     )
     spare_lines = F.lit(max_lines) - line_count(F.col("_core"))
-    backs = F.array(*[F.regexp_extract(F.col("_before"), rf"(?:\n|^)((?:[^\n]*\n){{{k}}})\z", 1) for k in range(overlap_lines, 0, -1)]) if overlap_lines else F.array(F.lit(""))
+    # Whole lines right before the piece, the most first; where the text before ends within a line there are none.
+    tail, ended = F.col("_tail"), F.element_at("_tail", -1) == ""
+    backs = F.transform(
+        F.sequence(F.least(F.lit(overlap_lines), F.size(tail) - 1), F.lit(0), F.lit(-1)),
+        lambda k: F.when(ended & (k > 0), F.concat(F.array_join(F.slice(tail, F.size(tail) - k, k), "\n"), F.lit("\n"))).otherwise(F.lit("")),
+    )
     fitting = F.filter(backs, lambda b: (b != "") & (F.length(b) + F.length("_core") <= max_chars) & (line_count(b) <= spare_lines))
     back = F.coalesce(F.get(fitting, F.lit(0)), F.lit(""))
     first = F.col("_from") + F.col("_breaks") - line_count(F.col("_back"))
     return (
-        cut.withColumn("_back", back)
+        cut.withColumn("_tail", F.split("_before", "\n", -1))
+        .withColumn("_back", back)
         .withColumn("content", F.concat("_back", "_core"))
         .withColumn("line_start", first.cast("int"))
         .select(

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.session import broadcast_if_small, cut, plain_path, table
+from codeloom.session import broadcast_if_small, cut, plain_path, spread, table
 
 #: Thresholds; a language without its own entry has those under "".
 _COMMON = {
@@ -80,7 +80,7 @@ def chunk_statistics(chunks: DataFrame) -> DataFrame:
     notice, banner, code = (F.regexp_instr(text, F.lit(p)) for p in (_NOTICE, _BANNER, _CODE))
     leads = lambda found: F.when(found > 0, (F.col("_code") == 0) | (found <= F.col("_code"))).otherwise(False)
     return (
-        chunks.select("index_run_id", "repo_id", plain_path(F.col("file_path")).alias("file_path"), "language", "chunk_type", text.alias("content"))
+        spread(chunks.select("index_run_id", "repo_id", plain_path(F.col("file_path")).alias("file_path"), "language", "chunk_type", text.alias("content")))
         .withColumn("_limit", _by_language("long_line"))
         .withColumn("_lengths", F.transform(F.split(text, "\n", -1), lambda line: F.length(line)))
         .withColumns({"_longest": F.array_max("_lengths"), "_lines": F.size("_lengths"), "_space": space, "_notice": notice, "_banner": banner})
