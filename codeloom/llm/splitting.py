@@ -80,8 +80,8 @@ def split_oversized(
     over = spread(items.where((F.length(content) > max_chars) | (line_count(content) > max_lines)).select("id", content, F.col("line_start").alias("_from")))
     widths = F.transform(F.split(content, "\n", -1), lambda line: F.length(line) + 1)
     runs = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(widths) - (overlap_lines - 1))),
-        lambda i: F.aggregate(F.slice(widths, i, max(overlap_lines, 1)), F.lit(0), lambda a, x: a + x),
+        F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_widths") - (overlap_lines - 1))),
+        lambda i: F.aggregate(F.slice("_widths", i, max(overlap_lines, 1)), F.lit(0), lambda a, x: a + x),
     )
     room = F.least(F.ceil(F.array_max(runs) / _STEP) * _STEP, F.lit(max_chars // 2)) if overlap_lines else F.lit(0)
     most = F.greatest(F.lit(1), F.lit(max_chars) - room).cast("int")
@@ -93,7 +93,8 @@ def split_oversized(
     sums = lambda numbers: F.aggregate(numbers, F.array(F.lit(0)), lambda a, n: F.array_append(a, F.element_at(a, -1) + n))  # noqa: E731  # from 0, one more than numbers
     breaks = lambda p: F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit("")))
     cut = (
-        over.withColumn("_most", most)
+        over.withColumn("_widths", widths)  # a column of its own, else the lines are cut anew for each run of them
+        .withColumn("_most", most)
         .withColumn("_pattern", _by_chars(F.col("_most")))
         .withColumn("_pieces", pieces)
         .withColumn("_ends", F.slice(sums(F.transform("_pieces", F.length)), 2, F.size("_pieces")))
