@@ -44,12 +44,12 @@ def parse_diffs(diffs: DataFrame) -> DataFrame:
     blocks = single.select(*_KEYS, split_lines(F.col("_raw")).alias("_lines")).select(*_KEYS, lines, _places(lines, _GIT).alias("_at"))
     files = blocks.select(*_KEYS, F.posexplode(_cut_at(lines, F.col("_at"))).alias("file_idx", "_block"))
     block = F.col("_block")
-    found = files.select(
+    found = files.withColumn("_starts", _places(block, _HUNK)).select(
         *_KEYS, "file_idx",
         _last(F.filter(block, lambda x: x.rlike(_GIT) | x.rlike("^rename to (.+)$"))).alias("_name"),
         _last(F.filter(block, lambda x: x.rlike("^rename from (.+)$"))).alias("_from"),
         _last(F.filter(block, lambda x: x.startswith("new file mode") | x.startswith("deleted file mode") | x.rlike("^rename from (.+)$"))).alias("_status"),
-        _cut_at(block, _places(block, _HUNK)).alias("_hunks"),
+        _cut_at(block, F.col("_starts")).alias("_hunks"),
     )
     name, status = F.col("_name"), F.col("_status")
     content = F.flatten(F.transform("_hunks", lambda h: F.slice(h, 2, F.size(h))))
